@@ -16,6 +16,7 @@ from ratelens.plans import items as I
 from ratelens.plans import ratings as R
 from ratelens.plans import recommendations as RC
 from ratelens.plans import review_tables as RT
+from ratelens.session import materialize
 from ratelens.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,10 +201,7 @@ def item_user_pairs(spark, d):
     + "SELECT review_id, item, user_name, user_id, item_id, taste FROM ratings WHERE region = 'NATION_7'",
 )
 def region_item_user_pairs(spark, d):
-    raw = RT.reviews(spark, d)
-    return R.item_user_pairs(
-        RT.stored_reviews(spark, d), "NATION_7", R.user_dimension(raw), R.item_dimension(raw)
-    )
+    return R.item_user_pairs(RT.stored_reviews(spark, d), "NATION_7", *RT.dimensions_of(spark, d))
 
 
 @query(
@@ -241,7 +239,7 @@ def item_id_pairs(spark, d):
     "user_ratings", _with(_RATINGS) + "SELECT item, taste FROM ratings WHERE user_name = 'Customer#000000007'"
 )
 def user_ratings(spark, d):
-    return R.ratings_of_user(RT.ratings(spark, d), "Customer#000000007")
+    return R.ratings_of_user(RT.rated(spark, d), "Customer#000000007")
 
 
 @query(
@@ -250,9 +248,8 @@ def user_ratings(spark, d):
     + "SELECT user_id, item_id, CAST(trunc(taste) AS INTEGER) AS taste, user_name, item FROM ratings",
 )
 def id_lookup(spark, d):
-    raw = RT.reviews(spark, d)
-    users, items = R.user_dimension(raw), R.item_dimension(raw)
-    typed = R.typed_ratings(R.item_user_pairs(RT.stored_reviews(spark, d), None, users, items))
+    users, items = RT.dimensions_of(spark, d)
+    typed = R.typed_ratings(R.with_ids(RT.rated(spark, d), users, items))
     return relational.attach_names(relational.attach_names(typed, users, "user_id"), items, "item_id")
 
 
@@ -376,10 +373,9 @@ def catalog_search(spark, d):
     FROM ratings JOIN side USING (item_id) JOIN item_counts USING (item_id)""",
 )
 def wide_catalogue(spark, d):
-    raw = RT.reviews(spark, d)
-    items = R.item_dimension(raw)
-    pairs = R.item_user_pairs(RT.stored_reviews(spark, d), None, R.user_dimension(raw), items)
-    return I.wide_catalogue(pairs, I.item_side_data(raw, items))
+    items = R.item_dimension(RT.reviews(spark, d))
+    pairs = RT.rated(spark, d).join(items, "item")
+    return I.wide_catalogue(pairs, I.item_side_data(RT.reviews(spark, d), items))
 
 
 def _item_texts(spark, d) -> DataFrame:
@@ -400,7 +396,7 @@ _ITEM_TERMS = _TERMS.format(key="item", text="concat(item, ' ', style, ' ', make
 def frequent_item_features(spark, d):
     raw = RT.reviews(spark, d)
     items = R.item_dimension(raw)
-    pairs = R.item_user_pairs(RT.stored_reviews(spark, d), None, R.user_dimension(raw), items)
+    pairs = RT.rated(spark, d).join(items, "item")
     terms = TX.term_frequency(_item_texts(spark, d), "item", "text", pattern=ASCII_TOKEN)
     rounded = terms.withColumn("tf", F.round("tf", 6))
     return I.frequent_item_features(pairs, I.item_side_data(raw, items), rounded, more_than=30)
@@ -462,7 +458,7 @@ def items_without_app_reviews(spark, d):
 
 @query("hash_split", _with(_SCORED) + "SELECT review_id, split FROM labelled")
 def hash_split(spark, d):
-    return split.hash_split(RT.ratings(spark, d), ["review_id"]).select("review_id", "split")
+    return split.hash_split(RT.rated(spark, d), ["review_id"]).select("review_id", "split")
 
 
 @query(
@@ -476,19 +472,23 @@ def hash_split(spark, d):
       THEN 'test' ELSE 'train' END AS split FROM ratings""",
 )
 def per_user_split(spark, d):
-    return split.split_by_user(RT.ratings(spark, d)).select("review_id", "split")
+    return split.split_by_user(RT.rated(spark, d)).select("review_id", "split")
 
 
 # --------------------------------------------------------------------------- evaluation
 
 
+def _scored(spark, d) -> DataFrame:
+    return RT.scored(RT.labelled(spark, d))
+
+
 @query(
     "rmse",
     _with(_SCORED)
     + "SELECT split, round(sqrt(avg((actual - prediction) ** 2)), 6) AS rmse FROM scored GROUP BY split",
 )
 def rmse(spark, d):
-    return EV.rmse(RT.scored(spark, d), ["split"]).withColumn("rmse", F.round("rmse", 6))
+    return EV.rmse(_scored(spark, d), ["split"]).withColumn("rmse", F.round("rmse", 6))
 
 
 _BIASED = """((actual > 5 AND abs(actual - prediction) < 1) OR (actual <= 5 AND prediction <= 5))"""
@@ -505,12 +505,12 @@ def _rate_sql(rule: str) -> str:
 
 @query("class_rate_biased", _rate_sql(_BIASED))
 def class_rate_biased(spark, d):
-    return EV.class_rate(RT.scored(spark, d), "biased", ["split"]).withColumn("class_rate", F.round("class_rate", 6))
+    return EV.class_rate(_scored(spark, d), "biased", ["split"]).withColumn("class_rate", F.round("class_rate", 6))
 
 
 @query("class_rate_both_low", _rate_sql(_BOTH_LOW))
 def class_rate_both_low(spark, d):
-    return EV.class_rate(RT.scored(spark, d), "both_low", ["split"]).withColumn("class_rate", F.round("class_rate", 6))
+    return EV.class_rate(_scored(spark, d), "both_low", ["split"]).withColumn("class_rate", F.round("class_rate", 6))
 
 
 @query(
@@ -521,7 +521,7 @@ def class_rate_both_low(spark, d):
     round(sqrt(avg((actual - prediction) ** 2)), 6) AS rmse FROM scored GROUP BY split""",
 )
 def quality(spark, d):
-    found = EV.quality(RT.scored(spark, d), "both_low", ["split"])
+    found = EV.quality(_scored(spark, d), "both_low", ["split"])
     return found.withColumns({c: F.round(c, 6) for c in ("class_rate", "rmse")})
 
 
@@ -530,7 +530,7 @@ def quality(spark, d):
     _with(_SCORED) + "SELECT actual AS act, round(prediction - actual, 6) AS error FROM scored ORDER BY act",
 )
 def error_rows(spark, d):
-    return EV.error_rows(RT.scored(spark, d)).withColumn("error", F.round("error", 6))
+    return EV.error_rows(_scored(spark, d)).withColumn("error", F.round("error", 6))
 
 
 @query(
@@ -540,7 +540,7 @@ def error_rows(spark, d):
     round(stddev_samp(prediction - actual), 6) AS sd_error FROM scored GROUP BY actual""",
 )
 def error_breakdown(spark, d):
-    found = EV.error_breakdown(RT.scored(spark, d))
+    found = EV.error_breakdown(_scored(spark, d))
     return found.withColumns({c: F.round(c, 6) for c in ("mean_error", "sd_error")})
 
 
@@ -568,12 +568,11 @@ damped AS (
 @query("damping_sweep", _with(_DAMPING_SQL) + "SELECT * FROM damped")
 def damping_sweep(spark, d):
     """Quality of item means pulled to the overall mean by each weight, all in one pass."""
-    labelled = split.hash_split(RT.ratings(spark, d), ["review_id"])
-    train, test = split.train_and_test(labelled)
-    sums = train.groupBy("item_id").agg(F.sum("taste").alias("s"), F.count("taste").alias("c"))
+    train, test = split.train_and_test(RT.labelled(spark, d))
+    sums = train.groupBy("item").agg(F.sum("taste").alias("s"), F.count("taste").alias("c"))
     overall = train.agg(F.avg("taste").alias("m")).scalar()
     names = [f"p{i}" for i in range(len(DAMPING))]
-    predicted = test.join(sums, "item_id").select(
+    predicted = test.join(sums, "item").select(
         F.col("taste").alias("actual"),
         *[((F.col("s") + F.lit(w) * overall) / (F.col("c") + F.lit(w))).alias(p) for p, w in zip(names, DAMPING)],
     )
@@ -610,11 +609,11 @@ def sweep_best(spark, d):
     FROM ranked JOIN users USING (user_id) JOIN items USING (item_id) WHERE rank <= 20""",
 )
 def top_k_item_mean(spark, d):
-    rated = RT.ratings(spark, d)
-    predictions = RT.scored(spark, d).select("user_id", "item_id", "prediction")
-    best = recommend.rank_items(predictions, 20, RC.allow_list(rated))
-    raw = RT.reviews(spark, d)
-    named = RC.named(best, R.user_dimension(raw), R.item_dimension(raw))
+    users, items = RT.dimensions_of(spark, d)
+    table = RT.labelled(spark, d)
+    predictions = R.with_ids(RT.scored(table), users, items).select("user_id", "item_id", "prediction")
+    allowed = RC.allow_list(table.join(items, "item"))
+    named = RC.named(recommend.rank_items(predictions, 20, allowed), users, items)
     return named.withColumn("prediction", F.round("prediction", 6))
 
 
@@ -626,9 +625,11 @@ def top_k_item_mean(spark, d):
       ON r.user_id = s.user_id AND r.item_id = s.item_id""",
 )
 def prediction_lookup(spark, d):
-    stored = RT.scored(spark, d).where("split = 'test'").select("user_id", "item_id", "prediction")
-    requests = RT.ratings(spark, d).select("user_id", "item_id")
-    found = recommend.look_up(stored, requests, missing_as_zero=True)
+    users, items = RT.dimensions_of(spark, d)
+    table = RT.labelled(spark, d)
+    stored = R.with_ids(RT.scored(table).where("split = 'test'"), users, items)
+    requests = R.with_ids(table, users, items).select("user_id", "item_id")
+    found = recommend.look_up(stored.select("user_id", "item_id", "prediction"), requests, missing_as_zero=True)
     return found.withColumn("prediction", F.round("prediction", 6))
 
 
@@ -674,7 +675,7 @@ def latent_rank(spark, d):
     GROUP BY source, part""",
 )
 def text_by_item(spark, d):
-    return TX.text_by_item(RT.load(spark, d, "documents"), "source", "text", ["doc_id"], texts_per_row=20)
+    return TX.text_by_item(RT.documents(spark, d), "source", "text", ["doc_id"], texts_per_row=20)
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -689,7 +690,7 @@ def _clean_sql(text: str) -> str:
 
 @query("clean_text", f"SELECT doc_id, {_clean_sql('text')} AS clean FROM documents")
 def clean_text(spark, d):
-    docs = RT.load(spark, d, "documents")
+    docs = RT.documents(spark, d)
     return TX.clean_text(docs, "text", STOP_WORDS, LEMMAS, ASCII_TOKEN).select("doc_id", "clean")
 
 
@@ -719,7 +720,7 @@ def item_clean_text(spark, d):
 )
 def lemma_table(spark, d):
     """Plural tokens replaced by their singular where the texts hold both."""
-    docs = RT.load(spark, d, "documents").select("doc_id", T.tokens("text", ASCII_TOKEN).alias("words"))
+    docs = RT.documents(spark, d).select("doc_id", T.tokens("text", ASCII_TOKEN).alias("words"))
     vocabulary = docs.select(F.explode("words").alias("token")).distinct()
     plural = vocabulary.where((F.length("token") > 3) & F.endswith("token", F.lit("s"))).select(
         "token", F.expr("left(token, length(token) - 1)").alias("lemma")
@@ -734,14 +735,15 @@ _DOC_TERMS = _TERMS.format(key="doc_id", text="text", source="documents")
 
 @query("term_frequency", _with(_DOC_TERMS) + "SELECT key AS doc_id, term, round(tf, 6) AS tf FROM tf")
 def term_frequency(spark, d):
-    found = TX.term_frequency(RT.load(spark, d, "documents"), "doc_id", "text", pattern=ASCII_TOKEN)
+    found = TX.term_frequency(RT.documents(spark, d), "doc_id", "text", pattern=ASCII_TOKEN)
     return found.withColumn("tf", F.round("tf", 6))
 
 
 @query("vocabulary", _with(_DOC_TERMS) + "SELECT term, total FROM vocabulary")
 def vocabulary(spark, d):
-    counts = TX.term_counts(RT.load(spark, d, "documents"), "doc_id", "text", TX.RATING_WORDS, ASCII_TOKEN)
-    return TX.vocabulary(counts)
+    return TX.vocabulary(
+        TX.term_occurrences(RT.documents(spark, d), "doc_id", "text", TX.RATING_WORDS, ASCII_TOKEN)
+    )
 
 
 @query(
@@ -750,13 +752,13 @@ def vocabulary(spark, d):
     + "SELECT key AS source, term, round(tf, 6) AS tf FROM tf",
 )
 def item_term_frequency(spark, d):
-    found = TX.term_frequency(RT.load(spark, d, "documents"), "source", "text", pattern=ASCII_TOKEN)
+    found = TX.term_frequency(RT.documents(spark, d), "source", "text", pattern=ASCII_TOKEN)
     return found.withColumn("tf", F.round("tf", 6))
 
 
 @query("ascii_clean", "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents")
 def ascii_clean(spark, d):
-    return features.clean_ascii(RT.load(spark, d, "documents").select("doc_id", "text"), "text")
+    return features.clean_ascii(RT.documents(spark, d).select("doc_id", "text"), "text")
 
 
 # --------------------------------------------------------------------------- pages
@@ -867,7 +869,7 @@ def _typed(spark, d) -> DataFrame:
 
 def _split_typed(spark, d) -> tuple[DataFrame, DataFrame]:
     labelled = split.hash_split(RT.ratings(spark, d), ["review_id"]).select("user_id", "item_id", "taste", "split")
-    return split.train_and_test(labelled)
+    return split.train_and_test(materialize(labelled))
 
 
 @query("als_top20")
@@ -884,7 +886,7 @@ def als_predictions(spark, d):
 @query("catalogue_scores")
 def catalogue_scores(spark, d):
     """The whole catalogue scored for one user, as kept for later look-ups."""
-    rated = RT.ratings(spark, d)
+    rated = materialize(RT.ratings(spark, d))
     model = models.fit_final_model(R.typed_ratings(rated))
     return recommend.score_catalogue(model, R.item_id_pairs(rated), [0])
 
@@ -909,19 +911,18 @@ def factorization_predictions(spark, d):
 
 @query("side_factorization_predictions")
 def side_factorization_predictions(spark, d):
-    raw = RT.reviews(spark, d)
-    items = R.item_dimension(raw)
-    side = I.item_side_data(raw, items).select("item_id", "style", "maker", "abv", "calories")
-    pairs = R.item_user_pairs(RT.stored_reviews(spark, d), None, R.user_dimension(raw), items)
+    users, items = RT.dimensions_of(spark, d)
+    side = I.item_side_data(RT.reviews(spark, d), items).select("item_id", "style", "maker", "abv", "calories")
+    pairs = R.with_ids(RT.rated(spark, d), users, items)
     labelled = split.hash_split(pairs, ["review_id"]).select("user_id", "item_id", "taste", "split")
-    train, test = split.train_and_test(labelled.join(side, "item_id"))
+    train, test = split.train_and_test(materialize(labelled.join(side, "item_id")))
     model = models.fit_side_factorization(train, ["style", "maker", "abv", "calories"])
     return model.transform(test).select("user_id", "item_id", "taste", "prediction")
 
 
 @query("implicit_top20")
 def implicit_top20(spark, d):
-    rated = RT.ratings(spark, d)
+    rated = materialize(RT.ratings(spark, d))
     model = models.fit_ranking_model(R.typed_ratings(rated))
     return recommend.recommend_top_k(model, None, 20, RC.allow_list(rated))
 

@@ -41,10 +41,32 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
     return stable.withColumn(name, within + offset).drop("_row")
 
 
+def dense_id_tables(df: DataFrame, ids: dict[str, str]) -> dict[str, DataFrame]:
+    """For each name column its (name, id) table: one row per distinct non-null name, ids 0..n-1 by name.
+
+    All columns share one pass over `df`.
+    """
+    kinds = list(ids)
+    named = (
+        df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("name")) for i, k in enumerate(kinds)])))
+        .select("col.kind", "col.name")
+        .where(F.col("name").isNotNull())
+        .distinct()
+    )
+    placed = with_ordinal(named, "kind", "name", name="_position")
+    # One row per column reaches the driver.
+    firsts = {r["kind"]: r["first"] for r in placed.groupBy("kind").agg(F.min("_position").alias("first")).collect()}
+    return {
+        k: placed.where(F.col("kind") == i).select(
+            F.col("name").alias(k), (F.col("_position") - firsts.get(i, 0)).cast("int").alias(ids[k])
+        )
+        for i, k in enumerate(kinds)
+    }
+
+
 def dense_ids(df: DataFrame, key: str, id_name: str) -> DataFrame:
     """One row per distinct non-null `key` with ids 0..n-1 in key order."""
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return with_ordinal(keys, key, name=id_name).withColumn(id_name, F.col(id_name).cast("int"))
+    return dense_id_tables(df, {key: id_name})[key]
 
 
 def new_ids(known: DataFrame, incoming: DataFrame, key: str, id_name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions import scalars as S
-from ratelens.operators.ordinals import dense_ids, new_ids
+from ratelens.operators.ordinals import dense_id_tables, dense_ids, new_ids
 from ratelens.operators.relational import first_per_key, min_support_filter, only_unseen
 
 # The lowest number of ratings of a kept user, and the rating scale.
@@ -24,6 +24,26 @@ def item_dimension(reviews: DataFrame) -> DataFrame:
     return dense_ids(reviews, "item", "item_id")
 
 
+def dimensions(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """User and item ids from one pass over the reviews."""
+    tables = dense_id_tables(reviews, {"user_name": "user_id", "item": "item_id"})
+    return tables["user_name"], tables["item"]
+
+
+def rated_reviews(reviews: DataFrame, region: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rated reviews with the rating on the 0-10 scale, of one region if asked.
+
+    `keep` names further review columns to carry along.
+    """
+    kept = reviews if region is None else reviews.where(F.col("region") == F.lit(region))
+    rating = S.rating_out_of_ten("taste").alias("taste")
+    return kept.select("review_id", "item", "user_name", rating, *keep).where(F.col("taste").isNotNull())
+
+
+def with_ids(rated: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    return rated.join(users, "user_name", "left").join(items, "item", "left")
+
+
 def item_user_pairs(
     reviews: DataFrame,
     region: str | None = None,
@@ -34,19 +54,13 @@ def item_user_pairs(
     """Rated (user, item) rows with ids and the rating on the 0-10 scale.
 
     Ids come from all reviews, unrated ones included, also when only one region is kept.
-    `keep` names further review columns to carry along.
     """
-    users = user_dimension(reviews) if users is None else users
-    items = item_dimension(reviews) if items is None else items
-    kept = reviews if region is None else reviews.where(F.col("region") == F.lit(region))
-    rated = kept.select(
-        "review_id", "item", "user_name", S.rating_out_of_ten("taste").alias("taste"), *keep
-    ).where(F.col("taste").isNotNull())
-    return (
-        rated.join(users, "user_name", "left")
-        .join(items, "item", "left")
-        .select("review_id", "item", "user_name", "user_id", "item_id", "taste", *keep)
-    )
+    if users is None or items is None:
+        own_users, own_items = dimensions(reviews)
+        users = own_users if users is None else users
+        items = own_items if items is None else items
+    paired = with_ids(rated_reviews(reviews, region, keep), users, items)
+    return paired.select("review_id", "item", "user_name", "user_id", "item_id", "taste", *keep)
 
 
 def supported_ratings(ratings: DataFrame, min_count: int = MIN_USER_RATINGS) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ratelens.functions.scalars import MISSING
 from ratelens.operators.relational import first_per_key
 from ratelens.operators.split import hash_split
-from ratelens.plans.ratings import item_dimension, item_user_pairs, user_dimension
+from ratelens.plans.ratings import dimensions, rated_reviews, with_ids
+from ratelens.session import materialize, spread
 
 # A review's place in time; with the rating it is total up to identical rows.
 REVIEW_ORDER = ("review_ts", "l_orderkey", "l_linenumber", "taste")
@@ -18,16 +19,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def part_items(spark: SparkSession, folder: str) -> DataFrame:
-    """The catalogue: one row per part, as raw text fields."""
-    part, nation = load(spark, folder, "part"), load(spark, folder, "nation")
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(load(spark, folder, "documents"))
+
+
+def _catalogue_fields():
     key = F.col("p_partkey")
-    return part.join(nation, F.col("n_nationkey") == key % 25).select(
-        key,
+    return [
         F.concat("p_name", F.lit(" #"), key.cast("string")).alias("item"),
         F.col("p_type").alias("style"),
         F.col("p_brand").alias("maker"),
-        F.col("n_name").alias("region"),
         F.when(key % 11 == 0, F.lit(MISSING)).otherwise(F.concat(F.col("p_size").cast("string"), F.lit("%"))).alias("abv"),
         F.when(key % 13 == 0, F.lit(MISSING))
         .otherwise(F.floor("p_retailprice").cast("int").cast("string"))
@@ -35,6 +36,14 @@ def part_items(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 17 == 0, F.lit(MISSING))
         .otherwise((F.col("p_size").cast("double") / 10).cast("string"))
         .alias("site_rating"),
+    ]
+
+
+def part_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue: one row per part, as raw text fields."""
+    part, nation = load(spark, folder, "part"), load(spark, folder, "nation")
+    return part.join(nation, F.col("n_nationkey") == F.col("p_partkey") % 25).select(
+        "p_partkey", *_catalogue_fields(), F.col("n_name").alias("region")
     )
 
 
@@ -45,12 +54,16 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = load(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("user_name"))
+    # Plain scans on the right of each join: their size is known, so small ones are broadcast.
+    parts = load(spark, folder, "part").select("p_partkey", *_catalogue_fields())
+    regions = load(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("region"))
     unrated = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 37 == 0
     taste = (F.ceil(F.col("l_quantity") / 5) / 10).cast("string")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(part_items(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(regions, F.col("n_nationkey") == F.col("p_partkey") % 25)
         .select(
             F.concat_ws("_", "item", "user_name").alias("review_id"),
             "item",
@@ -76,23 +89,33 @@ def stored_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return first_per_key(reviews(spark, folder), ["review_id"], [F.col(c) for c in REVIEW_ORDER])
 
 
+def rated(spark: SparkSession, folder: str) -> DataFrame:
+    """Rating table by name: the rated stored reviews."""
+    return rated_reviews(stored_reviews(spark, folder), keep=("appdata",))
+
+
+def dimensions_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    # Duplicates do not change the set of names, so the ids skip the de-duplication.
+    return dimensions(reviews(spark, folder))
+
+
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Rating table with ids and the application flag."""
-    raw, docs = reviews(spark, folder), stored_reviews(spark, folder)
-    # Duplicates do not change the set of names, so the ids skip the de-duplication.
-    return item_user_pairs(docs, None, user_dimension(raw), item_dimension(raw), keep=("appdata",))
+    return with_ids(rated(spark, folder), *dimensions_of(spark, folder))
 
 
 def item_mean_predictions(train: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score pairs by the item's mean training rating: a stand-in for a model with exact results."""
-    means = train.groupBy("item_id").agg((F.sum("taste") / F.count("taste")).alias("prediction"))
-    return pairs.join(means, "item_id", "inner")
+    means = train.groupBy("item").agg((F.sum("taste") / F.count("taste")).alias("prediction"))
+    return pairs.join(means, "item", "inner")
 
 
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """(user_id, item_id, actual, split, prediction): ratings against training item means."""
-    labelled = hash_split(ratings(spark, folder), ["review_id"])
-    train = labelled.where(F.col("split") == "train")
-    return item_mean_predictions(
-        train, labelled.select("user_id", "item_id", F.col("taste").alias("actual"), "split")
-    )
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Rating table by name with its train/test split, written once as it is read twice."""
+    return materialize(hash_split(rated(spark, folder), ["review_id"]))
+
+
+def scored(table: DataFrame) -> DataFrame:
+    """(user_name, item, actual, split, prediction): labelled ratings against training item means."""
+    train = table.where(F.col("split") == "train")
+    return item_mean_predictions(train, table.select("user_name", "item", F.col("taste").alias("actual"), "split"))

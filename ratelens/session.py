@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,18 +42,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read it from there on.
+    """Write `df` as a table in the checkpoint folder and read it from there on.
 
-    The files are shared, so a lost executor cannot make a second pass see other rows
-    or another partitioning than the first one did.
+    The files are shared, so a lost executor cannot make a second pass see other rows or
+    another partitioning than the first one did; later passes read only the columns they
+    use, and the planner knows the table's size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores when it has fewer pieces than there are cores.
+
+    For work that is heavy per row. A large input has more pieces than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint for a table counted to be small; otherwise the planner decides.
 
-    Meant for cheap inputs (already materialized, or a few groups), as it counts up to the limit.
+    Meant for materialized or grouped inputs, as it counts up to the limit.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
