@@ -201,7 +201,7 @@ def item_user_pairs(spark, d):
     + "SELECT review_id, item, user_name, user_id, item_id, taste FROM ratings WHERE region = 'NATION_7'",
 )
 def region_item_user_pairs(spark, d):
-    return R.item_user_pairs(RT.stored_reviews(spark, d), "NATION_7", *RT.dimensions_of(spark, d))
+    return R.item_user_pairs(RT.stored_reviews(spark, d, "NATION_7"), "NATION_7", *RT.dimensions_of(spark, d))
 
 
 @query(
@@ -212,7 +212,8 @@ def region_item_user_pairs(spark, d):
     WHERE user_name NOT IN (SELECT user_name FROM regional GROUP BY user_name HAVING count(*) < 4)""",
 )
 def min_support_users(spark, d):
-    return R.supported_ratings(region_item_user_pairs(spark, d))
+    # The table is counted and filtered: written once, read twice.
+    return R.supported_ratings(materialize(region_item_user_pairs(spark, d)))
 
 
 @query("ratings_typed", _with(_RATINGS) + "SELECT user_id, item_id, CAST(trunc(taste) AS INTEGER) AS taste FROM ratings")
@@ -296,7 +297,7 @@ def _append(spark, d):
     cutoff = F.lit(NEW_RATINGS_FROM).cast("timestamp_ntz")
     order = [F.col(c) for c in RT.REVIEW_ORDER]
     old = relational.first_per_key(raw.where(F.col("review_ts") < cutoff), ["review_id"], order)
-    stored = R.item_user_pairs(old, items=items)
+    stored = materialize(R.item_user_pairs(old, items=items))
     batch = raw.where(F.col("review_ts") >= cutoff).select(
         "user_name", "item", S.rating_out_of_ten("taste").alias("taste"), "review_ts", "l_orderkey", "l_linenumber"
     )
@@ -916,7 +917,7 @@ def side_factorization_predictions(spark, d):
     pairs = R.with_ids(RT.rated(spark, d), users, items)
     labelled = split.hash_split(pairs, ["review_id"]).select("user_id", "item_id", "taste", "split")
     train, test = split.train_and_test(materialize(labelled.join(side, "item_id")))
-    model = models.fit_side_factorization(train, ["style", "maker", "abv", "calories"])
+    model = models.fit_side_factorization(train, ["style", "maker", "abv", "calories"], num_features=1 << 16)
     return model.transform(test).select("user_id", "item_id", "taste", "prediction")
 
 

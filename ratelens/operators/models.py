@@ -18,6 +18,8 @@ FINAL_RANK = 6
 FINAL_REG = 0.0875
 FINAL_ITERATIONS = 20
 
+MAX_BLOCKS = 1000
+
 
 def fit_als(
     ratings: DataFrame,
@@ -45,8 +47,8 @@ def fit_als(
         checkpointInterval=5,
         seed=seed,
     )
-    if blocks:
-        als = als.setNumBlocks(blocks)
+    # The default of 10 blocks would leave most of a cluster idle; blocks meet pairwise, so not too many.
+    als = als.setNumBlocks(blocks or min(MAX_BLOCKS, ratings.sparkSession.sparkContext.defaultParallelism))
     return als.fit(ratings.select("user_id", "item_id", F.col(rating).cast("float").alias(rating)))
 
 

@@ -25,8 +25,12 @@ def min_support_filter(df: DataFrame, key: str, min_count: int) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """First row per key under a total order."""
-    return top_k_per_group(df, keys, order, 1, name="_n").drop("_n")
+    """First row per key under a total order.
+
+    The key's hash leads the grouping: long text keys are then sorted by a number first.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    return top_k_per_group(hashed, ["_hash", *keys], order, 1, name="_n").drop("_n", "_hash")
 
 
 def only_unseen(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import scalars as S
 from ratelens.operators.ordinals import dense_id_tables, dense_ids, new_ids
 from ratelens.operators.relational import first_per_key, min_support_filter, only_unseen
+from ratelens.session import materialize
 
 # The lowest number of ratings of a kept user, and the rating scale.
 MIN_USER_RATINGS = 4
@@ -55,10 +56,10 @@ def item_user_pairs(
 
     Ids come from all reviews, unrated ones included, also when only one region is kept.
     """
-    if users is None or items is None:
-        own_users, own_items = dimensions(reviews)
-        users = own_users if users is None else users
-        items = own_items if items is None else items
+    if users is None and items is None:
+        users, items = dimensions(reviews)
+    users = user_dimension(reviews) if users is None else users
+    items = item_dimension(reviews) if items is None else items
     paired = with_ids(rated_reviews(reviews, region, keep), users, items)
     return paired.select("review_id", "item", "user_name", "user_id", "item_id", "taste", *keep)
 
@@ -92,7 +93,7 @@ def append_ratings(
 ) -> tuple[DataFrame, DataFrame]:
     """Split a batch of new ratings (user_name, item, taste) into accepted and rejected rows.
 
-    Accepted rows carry ids and `appdata` = 1; a known user keeps the id, a new one gets the
+    `order` must be total over the batch. Accepted rows carry ids and `appdata` = 1; a known user keeps the id, a new one gets the
     next free one. Rejected rows carry a `reason`: an unknown item, a rating outside the
     scale, or a (user, item) pair that is stored or comes earlier in the batch.
     """
@@ -107,9 +108,9 @@ def append_ratings(
     )
     checked = keyed.withColumn("reason", problem)
     valid = checked.where(F.col("reason").isNull()).drop("reason")
-    # `order` must be total over the batch, so that the row kept per key is the same in each use.
+    # Decided once; ids, accepted and rejected rows all follow from the same choice.
     firsts = first_per_key(valid, ["review_id"], order)
-    fresh = only_unseen(firsts, stored, "review_id")
+    fresh = materialize(only_unseen(firsts, stored, "review_id"))
 
     known = stored.groupBy("user_name").agg(F.min("user_id").alias("user_id"))
     users = known.unionByName(new_ids(known, fresh, "user_name", "user_id"))

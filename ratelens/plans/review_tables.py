@@ -49,7 +49,7 @@ def part_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
     """One review per order line, duplicates included."""
-    lines = load(spark, folder, "lineitem").select(
+    lines = spread(load(spark, folder, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.col("l_shipdate").alias("review_ts")
     )
     orders = load(spark, folder, "orders").select("o_orderkey", "o_custkey")
@@ -84,9 +84,13 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stored_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def stored_reviews(spark: SparkSession, folder: str, region: str | None = None) -> DataFrame:
     """The first review per key, as the document store keeps it."""
-    return first_per_key(reviews(spark, folder), ["review_id"], [F.col(c) for c in REVIEW_ORDER])
+    found = reviews(spark, folder)
+    if region is not None:
+        # The key holds the item and the item fixes the region, so the filter may come first.
+        found = found.where(F.col("region") == F.lit(region))
+    return first_per_key(found, ["review_id"], [F.col(c) for c in REVIEW_ORDER])
 
 
 def rated(spark: SparkSession, folder: str) -> DataFrame:
