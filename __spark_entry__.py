@@ -570,7 +570,7 @@ damped AS (
 def damping_sweep(spark, d):
     """Quality of item means pulled to the overall mean by each weight, all in one pass."""
     train, test = split.train_and_test(RT.labelled(spark, d))
-    sums = train.groupBy("item").agg(F.sum("taste").alias("s"), F.count("taste").alias("c"))
+    sums = materialize(train.groupBy("item").agg(F.sum("taste").alias("s"), F.count("taste").alias("c")))
     overall = train.agg(F.avg("taste").alias("m")).scalar()
     names = [f"p{i}" for i in range(len(DAMPING))]
     predicted = test.join(sums, "item").select(
@@ -676,7 +676,7 @@ def latent_rank(spark, d):
     GROUP BY source, part""",
 )
 def text_by_item(spark, d):
-    return TX.text_by_item(RT.documents(spark, d), "source", "text", ["doc_id"], texts_per_row=20)
+    return TX.text_by_item(RT.load(spark, d, "documents"), "source", "text", ["doc_id"], texts_per_row=20)
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -727,7 +727,7 @@ def lemma_table(spark, d):
         "token", F.expr("left(token, length(token) - 1)").alias("lemma")
     )
     dictionary = relational.only_listed(plural, vocabulary.withColumnRenamed("token", "lemma"), "lemma")
-    done = TX.lemmatize_by_table(docs, "doc_id", "words", dictionary.select("token", "lemma"))
+    done = TX.lemmatize_by_table(docs, "doc_id", "words", materialize(dictionary.select("token", "lemma")))
     return done.withColumn("words", T.joined(F.col("words")))
 
 
@@ -801,7 +801,8 @@ def item_links(spark, d):
 )
 def unseen_items(spark, d):
     found = pages.absolute(_site_links(spark, d), F.col("site"))
-    unseen = relational.only_unseen(found, RT.load(spark, d, "pages"), "url")
+    stored = materialize(RT.load(spark, d, "pages").select("url").distinct())
+    unseen = relational.only_unseen(found, stored, "url")
     return unseen.select("page_id", "position", "url")
 
 

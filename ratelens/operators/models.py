@@ -107,7 +107,8 @@ def fit_factorization(
         mean, shrink = float(overall["mean"]), lin_reg * overall["n"]
 
         def ridge_terms(source: DataFrame, key: str, residual: Column, name: str) -> DataFrame:
-            return source.groupBy(key).agg((F.sum(residual) / (F.count("*") + F.lit(shrink))).alias(name))
+            # Written, as the next fit joins it to all ratings and every prediction reads it.
+            return materialize(source.groupBy(key).agg((F.sum(residual) / (F.count("*") + F.lit(shrink))).alias(name)))
 
         item_terms = ridge_terms(data, "item_id", F.col("_y") - mean, "item_term")
         for step in range(passes):
@@ -116,8 +117,6 @@ def fit_factorization(
             if step < passes - 1:
                 with_users = data.join(user_terms, "user_id")
                 item_terms = ridge_terms(with_users, "item_id", F.col("_y") - mean - F.col("user_term"), "item_term")
-        # Used by the fit and by every later prediction.
-        user_terms, item_terms = materialize(user_terms), materialize(item_terms)
         left_over = (
             data.join(user_terms, "user_id")
             .join(item_terms, "item_id")

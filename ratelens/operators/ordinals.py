@@ -12,7 +12,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.session import broadcast_if_small, materialize
+from ratelens.session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -83,8 +83,8 @@ def group_rank(df: DataFrame, groups: list[str], order: list[Column], name: str
     `groups` plus `order` must identify a row.
     """
     placed = with_ordinal(df, *groups, *order, name="_position")
-    firsts = placed.groupBy(*groups).agg(F.min("_position").alias("_first"))
-    ranked = placed.join(broadcast_if_small(firsts), groups)
+    firsts = materialize(placed.groupBy(*groups).agg(F.min("_position").alias("_first")))
+    ranked = placed.join(firsts, groups)
     return ranked.withColumn(name, (F.col("_position") - F.col("_first") + 1).cast("int")).drop("_position", "_first")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions import scalars as S
+from ratelens.session import materialize
 
 # Markup patterns.
 HREF_PATTERN = r'href="([^"]*)"'
@@ -77,5 +78,11 @@ def review_fields(reviews: DataFrame, scores: str, author: str) -> DataFrame:
 
 
 def with_placeholders(items: DataFrame, reviews: DataFrame, key: str = "item") -> DataFrame:
-    """Every item at least once; one without reviews gets a row with NULL review columns."""
-    return items.join(reviews, key, "left")
+    """Every item at least once; one without reviews gets a row with NULL review columns.
+
+    A left join could not split an item with very many reviews, an inner join can; the items
+    without reviews are added apart.
+    """
+    reviewed = materialize(reviews.select(key).distinct())
+    without = items.join(reviewed, key, "left_anti")
+    return items.join(reviews, key).unionByName(without, allowMissingColumns=True)

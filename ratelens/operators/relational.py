@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratelens.functions.scalars import MISSING
 from ratelens.operators.ordinals import top_k_per_group
+from ratelens.session import materialize
 
 
 def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -20,7 +21,7 @@ def frequent_keys(df: DataFrame, key: str, more_than: int) -> DataFrame:
 
 def min_support_filter(df: DataFrame, key: str, min_count: int) -> DataFrame:
     """Drop the rows of keys that have fewer than `min_count` rows."""
-    rare = counts_by(df, key).where(F.col("n") < min_count).select(key)
+    rare = materialize(counts_by(df, key).where(F.col("n") < min_count).select(key))
     return df.join(rare, key, "left_anti")
 
 
@@ -34,11 +35,12 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def only_unseen(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored yet."""
+    """Rows whose key is not stored yet; `stored` holds a key once."""
     return df.join(stored.select(key), key, "left_anti")
 
 
 def only_listed(df: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a list that holds it once."""
     return df.join(allowed.select(key), key, "left_semi")
 
 

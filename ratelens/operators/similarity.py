@@ -22,6 +22,7 @@ from ratelens.session import materialize
 
 MAX_PIVOTS = 4096
 BLOCK_ROWS = 2048
+_ASSIGN_ROWS = 1024
 _SLACK = 1e-9  # rounding slack; only lets more candidates in
 
 
@@ -31,7 +32,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def fold_copies(items: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """Lowest id per distinct vector, and (kept id, copy id) for the others."""
-    kept = items.groupBy(vector_col).agg(F.min(id_col).alias("kept"), F.count("*").alias("_n"))
+    kept = materialize(items.groupBy(vector_col).agg(F.min(id_col).alias("kept"), F.count("*").alias("_n")))
     repeated = kept.where(F.col("_n") > 1).select(vector_col, "kept")
     copies = items.join(repeated, vector_col).where(F.col(id_col) != F.col("kept"))
     return (
@@ -43,16 +44,18 @@ def fold_copies(items: DataFrame, id_col: str, vector_col: str) -> tuple[DataFra
 def _assign_cells(units: DataFrame, pivots: np.ndarray, reach: float) -> DataFrame:
     between = np.sqrt(np.maximum(2.0 - 2.0 * pivots @ pivots.T, 0.0))
 
+    def place(rows: pd.DataFrame) -> pd.DataFrame:
+        squared = 2.0 - 2.0 * _matrix(rows["unit"]) @ pivots.T
+        home = squared.argmin(axis=1)
+        own = np.arange(len(home))
+        near = squared - squared[own, home][:, None] <= 2.0 * reach * between[home] + _SLACK
+        near[own, home] = True
+        return rows.assign(home=home.astype("int32"), cells=[np.flatnonzero(r).astype("int32") for r in near])
+
     def assign(batches):
         for batch in batches:
-            if batch.empty:
-                continue
-            squared = 2.0 - 2.0 * _matrix(batch["unit"]) @ pivots.T
-            home = squared.argmin(axis=1)
-            gap = squared - squared[np.arange(len(home)), home][:, None]
-            near = gap <= 2.0 * reach * between[home] + _SLACK
-            near[np.arange(len(home)), home] = True
-            yield batch.assign(home=home.astype("int32"), cells=[np.flatnonzero(r).astype("int32") for r in near])
+            for start in range(0, len(batch), _ASSIGN_ROWS):
+                yield place(batch.iloc[start : start + _ASSIGN_ROWS])
 
     return units.mapInPandas(assign, "id long, unit array<double>, home int, cells array<int>")
 

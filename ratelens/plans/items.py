@@ -10,6 +10,7 @@ from ratelens.operators.features import clean_ascii, with_text_features
 from ratelens.operators.ordinals import dense_ids
 from ratelens.operators.relational import frequent_keys, most_common, only_listed
 from ratelens.plans.ratings import supported_ratings
+from ratelens.session import materialize
 from ratelens.sources.writers import write_csv
 
 SIDE_COLUMNS = ("item", "abv", "calories", "maker", "site_rating", "style", "region")
@@ -63,7 +64,7 @@ def frequent_item_features(
     ratings: DataFrame, items: DataFrame, item_terms: DataFrame, more_than: int = FREQUENT_ITEM
 ) -> DataFrame:
     """(item_id, abv, calories, term columns) of items with more than `more_than` ratings."""
-    frequent = frequent_keys(ratings, "item_id", more_than)
+    frequent = materialize(frequent_keys(ratings, "item_id", more_than))
     wanted = only_listed(items.select("item", "item_id", "abv", "calories"), frequent, "item_id")
     return wanted.join(item_terms, "item").drop("item").distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratelens.functions import scalars as S
 from ratelens.operators.ordinals import dense_id_tables, dense_ids, new_ids
-from ratelens.operators.relational import first_per_key, min_support_filter, only_unseen
+from ratelens.operators.relational import first_per_key, min_support_filter, only_listed, only_unseen
 from ratelens.session import materialize
 
 # The lowest number of ratings of a kept user, and the rating scale.
@@ -113,7 +113,8 @@ def append_ratings(
     fresh = materialize(only_unseen(firsts, stored, "review_id"))
 
     known = stored.groupBy("user_name").agg(F.min("user_id").alias("user_id"))
-    users = known.unionByName(new_ids(known, fresh, "user_name", "user_id"))
+    named_now = only_listed(known, fresh.select("user_name").distinct(), "user_name")
+    users = materialize(named_now.unionByName(new_ids(known, fresh, "user_name", "user_id")))
     accepted = fresh.join(users, "user_name").select(
         "review_id",
         "item",

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,7 +45,9 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The files are shared, so a lost executor cannot make a second pass see other rows or
     another partitioning than the first one did; later passes read only the columns they
-    use, and the planner knows the table's size.
+    use. The planner knows the table's size, so it broadcasts a small one; with a large one
+    it can still split a hot key of the other side, which it cannot do against an aggregate
+    that feeds the join directly.
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
@@ -63,9 +64,7 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint for a table counted to be small; otherwise the planner decides.
-
-    Meant for materialized or grouped inputs, as it counts up to the limit.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def release_materialized(spark: SparkSession) -> None:
+    """Delete the tables that `materialize` wrote in this session, once their results are used up."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -151,3 +151,42 @@ def test_spread_leaves_large_scans_alone(spark):
     wide = spark.range(100, numPartitions=64)
     assert spread(wide) is wide
     assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def _skew_split(spark, build):
+    """Run with every join shuffled and a low skew bound; True if the planner split a hot partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = build()
+        n = len(df.collect())
+        return n, "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split_in_joins(spark):
+    facts = materialize(
+        spark.range(0, 60000, numPartitions=16).select(
+            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 20011).cast("string"))).alias("key"),
+            F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+        )
+    )
+    n, split_up = _skew_split(spark, lambda: relational.min_support_filter(facts, "key", 2))
+    rare = facts.groupBy("key").count().where("count < 2").count()
+    assert (n, split_up) == (60000 - rare, True)
+    ids = ordinals.dense_ids(facts, "key", "key_id")
+    assert _skew_split(spark, lambda: facts.join(ids, "key", "left")) == (60000, True)
+    from ratelens.operators.pages import with_placeholders
+
+    items = materialize(facts.select("key").distinct().union(spark.createDataFrame([("alone",)], "key string")))
+    assert _skew_split(spark, lambda: with_placeholders(items, facts, "key")) == (60001, True)
