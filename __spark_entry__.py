@@ -653,6 +653,27 @@ def cosine_pairs(spark, d):
     return similarity.similar_items(RT.load(spark, d, "embeddings"), "vec_id", "embedding", max_distance=0.65)
 
 
+@query(
+    "similar_item_features",
+    _with(_CATALOGUE, _ITEM_TERMS)
+    + """, lengths AS (SELECT key, CAST(sum(n * n) AS DOUBLE) AS sq, list(term || '=' || n ORDER BY term) AS v
+      FROM listed GROUP BY key),
+    numbered AS (SELECT lengths.*, p_partkey AS id FROM lengths JOIN catalogue ON key = item),
+    kept AS (SELECT v, min(id) AS id, any_value(sq) AS sq FROM numbered GROUP BY v),
+    entries AS (SELECT kept.id, kept.sq, term, n FROM kept JOIN numbered ON kept.id = numbered.id JOIN listed ON listed.key = numbered.key),
+    pairs AS (SELECT a.id AS item_id1, b.id AS item_id2, 1 - sum(a.n * b.n) / sqrt(any_value(a.sq) * any_value(b.sq)) AS dist
+      FROM entries a JOIN entries b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
+    near AS (SELECT * FROM pairs WHERE dist <= 0.12
+      UNION ALL SELECT kept.id, numbered.id, 0 FROM numbered JOIN kept USING (v) WHERE numbered.id <> kept.id)
+    SELECT item_id1, item_id2, round(dist, 5) AS distance FROM near""",
+)
+def similar_item_features(spark, d):
+    texts = RT.part_items(spark, d).select("p_partkey", F.concat_ws(" ", "item", "style", "maker").alias("text"))
+    table, terms = TX.term_features(texts, "p_partkey", "text", pattern=ASCII_TOKEN)
+    found = similarity.similar_items(I.vector_of(table, "p_partkey", terms), "p_partkey", "vector", 0.12)
+    return found.withColumn("distance", F.round("distance", 5))
+
+
 @query(
     "latent_rank",
     "SELECT vec_id, "

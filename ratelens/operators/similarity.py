@@ -94,8 +94,9 @@ def similar_items(
     row (lowest id, copy, 0). All-zero vectors have no distance to anything. With
     `max_distance=2` every pair of different vectors is in reach.
     """
-    vectors = items.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
+    # Written first: it is read twice, and vectors made of many columns would be rebuilt at each use.
+    vectors = materialize(
+        items.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     ).where(norm("vector") > 0)
     kept, copies = fold_copies(vectors, "id", "vector")
     length = norm("vector")

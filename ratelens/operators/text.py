@@ -112,13 +112,24 @@ def term_frequency(
 
 def term_table(frequencies: DataFrame, key: str, terms: list[str], keys: DataFrame | None = None) -> DataFrame:
     """One column per term; with `keys`, keys without any listed term get zeros."""
-    columns = [
-        F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0.0)).alias(t) for t in terms
-    ]
-    wide = frequencies.groupBy(key).agg(*columns)
-    if keys is None:
-        return wide
-    return keys.select(key).distinct().join(wide, key, "left").na.fill(0.0, terms)
+    wide = frequencies.groupBy(key).pivot("term", terms).agg(F.first("tf"))
+    if keys is not None:
+        wide = keys.select(key).distinct().join(wide, key, "left")
+    return wide.na.fill(0.0, terms)
+
+
+def term_features(
+    df: DataFrame,
+    key: str,
+    text: str,
+    size: int = VOCABULARY_SIZE,
+    drop_words: Iterable[str] = RATING_WORDS,
+    pattern: str = T.WORD_PATTERN,
+) -> tuple[DataFrame, list[str]]:
+    """The term frequencies as one row per key and one column per listed term, with the term names."""
+    listed = vocabulary(term_occurrences(df, key, text, drop_words, pattern), size).select("term")
+    terms = [r["term"] for r in listed.orderBy("term").collect()]  # at most `size` names
+    return term_table(term_frequency(df, key, text, size, drop_words, pattern), key, terms, df), terms
 
 
 def term_vector_model(

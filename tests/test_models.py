@@ -147,6 +147,9 @@ def test_retrain_stores_and_ranks(spark, planted, tmp_path):
     from ratelens.sources.readers import user_predictions
 
     assert user_predictions(spark, path, 5).count() == 3
+    some = spark.createDataFrame([("u1",), ("u2",), ("nobody",)], "user_name string")
+    ranked = recommendations.retrain_and_rank(named, min_count=1, k=3, only_users=some)
+    assert rows(ranked.select("user_name").distinct()) == [("u1",), ("u2",)]
 
 
 SCORED = [(6.0, 6.5), (6.0, 7.0), (9.0, 4.0), (5.0, 5.0), (5.0, 5.5), (2.0, 4.9), (5.5, 5.9)]
@@ -242,3 +245,11 @@ def test_similar_items_against_brute_force(spark, limit, block_rows):
 def test_similar_items_of_nothing(spark):
     df = spark.createDataFrame([], "item_id long, vector array<double>")
     assert similarity.similar_items(df, "item_id", "vector", 0.1).count() == 0
+
+
+def test_random_search_with_side_data(parts):
+    train, test = (p.withColumn("style", (F.col("item_id") % 3).cast("string")) for p in parts)
+    got = search.random_search(
+        train, test, max_iterations=[2], num_factors=[2], side_data_factorization=[True], side_columns=["style"], num_models=1
+    ).first()
+    assert got["side_data_factorization"] and got["lin_reg"] is None and got["test_rmse"] is not None

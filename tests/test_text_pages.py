@@ -86,6 +86,8 @@ def test_term_table_and_vectors(spark):
         ("a", 0.7071, 0.7071),
         ("b", 0.0, 0.0),
     ]
+    table, terms = TX.term_features(df, "item", "text", size=2)
+    assert terms == ["hop", "hop malt"] and rows(table) == rows(wide)
     model, vectors = TX.term_vector_model(df, "text", size=10)
     assert len(model.stages[0].vocabulary) == 4
     for r in vectors.collect():
