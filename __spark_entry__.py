@@ -119,6 +119,9 @@ DAMPING = (0.0, 1.0, 2.0, 5.0, 10.0, 20.0)
 NEW_RATINGS_FROM = "1995-03-01"
 
 
+_SIDE_COLUMNS = ("abv", "calories", "maker", "site_rating", "style", "region")
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n"
 
@@ -201,7 +204,7 @@ def item_user_pairs(spark, d):
     + "SELECT review_id, item, user_name, user_id, item_id, taste FROM ratings WHERE region = 'NATION_7'",
 )
 def region_item_user_pairs(spark, d):
-    return R.item_user_pairs(RT.stored_reviews(spark, d, "NATION_7"), "NATION_7", *RT.dimensions_of(spark, d))
+    return R.item_user_pairs(RT.store(spark, d, "region"), "NATION_7")
 
 
 @query(
@@ -249,8 +252,9 @@ def user_ratings(spark, d):
     + "SELECT user_id, item_id, CAST(trunc(taste) AS INTEGER) AS taste, user_name, item FROM ratings",
 )
 def id_lookup(spark, d):
-    users, items = RT.dimensions_of(spark, d)
-    typed = R.typed_ratings(R.with_ids(RT.rated(spark, d), users, items))
+    docs = RT.store(spark, d)
+    users, items = R.dimensions(docs)
+    typed = R.typed_ratings(R.with_ids(R.rated_reviews(docs), users, items))
     return relational.attach_names(relational.attach_names(typed, users, "user_id"), items, "item_id")
 
 
@@ -292,7 +296,8 @@ everyone AS (SELECT * FROM known UNION ALL SELECT * FROM new_users)"""
 
 
 def _append(spark, d):
-    raw = RT.reviews(spark, d)
+    columns = ("review_id", "user_name", "item", "taste", "review_ts", "l_orderkey", "l_linenumber")
+    raw = materialize(RT.reviews(spark, d).select(*columns))  # split into the stored and the new ratings
     items = R.item_dimension(RT.part_items(spark, d))
     cutoff = F.lit(NEW_RATINGS_FROM).cast("timestamp_ntz")
     order = [F.col(c) for c in RT.REVIEW_ORDER]
@@ -340,7 +345,7 @@ def item_side_data(spark, d):
 
 @query("mode_impute", _with(_SIDE) + "SELECT item, abv, calories FROM filled")
 def mode_impute(spark, d):
-    side = I.raw_side_data(RT.reviews(spark, d))
+    side = materialize(I.raw_side_data(RT.reviews(spark, d)))
     return I.impute_mode(side, "abv", "calories").select("item", "abv", "calories")
 
 
@@ -374,9 +379,10 @@ def catalog_search(spark, d):
     FROM ratings JOIN side USING (item_id) JOIN item_counts USING (item_id)""",
 )
 def wide_catalogue(spark, d):
-    items = R.item_dimension(RT.reviews(spark, d))
-    pairs = RT.rated(spark, d).join(items, "item")
-    return I.wide_catalogue(pairs, I.item_side_data(RT.reviews(spark, d), items))
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    items = R.item_dimension(docs)
+    pairs = R.rated_reviews(docs).join(items, "item")
+    return I.wide_catalogue(pairs, I.item_side_data(docs, items))
 
 
 def _item_texts(spark, d) -> DataFrame:
@@ -395,12 +401,12 @@ _ITEM_TERMS = _TERMS.format(key="item", text="concat(item, ' ', style, ' ', make
     WHERE item_id IN (SELECT item_id FROM ratings GROUP BY item_id HAVING count(*) > 30)""",
 )
 def frequent_item_features(spark, d):
-    raw = RT.reviews(spark, d)
-    items = R.item_dimension(raw)
-    pairs = RT.rated(spark, d).join(items, "item")
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    items = R.item_dimension(docs)
+    pairs = R.rated_reviews(docs).join(items, "item")
     terms = TX.term_frequency(_item_texts(spark, d), "item", "text", pattern=ASCII_TOKEN)
     rounded = terms.withColumn("tf", F.round("tf", 6))
-    return I.frequent_item_features(pairs, I.item_side_data(raw, items), rounded, more_than=30)
+    return I.frequent_item_features(pairs, I.item_side_data(docs, items), rounded, more_than=30)
 
 
 @query(
@@ -473,14 +479,14 @@ def hash_split(spark, d):
       THEN 'test' ELSE 'train' END AS split FROM ratings""",
 )
 def per_user_split(spark, d):
-    return split.split_by_user(RT.rated(spark, d)).select("review_id", "split")
+    return split.split_by_user(R.rated_reviews(RT.store(spark, d))).select("review_id", "split")
 
 
 # --------------------------------------------------------------------------- evaluation
 
 
 def _scored(spark, d) -> DataFrame:
-    return RT.scored(RT.labelled(spark, d))
+    return RT.scored(RT.labelled(RT.store(spark, d)))
 
 
 @query(
@@ -569,7 +575,7 @@ damped AS (
 @query("damping_sweep", _with(_DAMPING_SQL) + "SELECT * FROM damped")
 def damping_sweep(spark, d):
     """Quality of item means pulled to the overall mean by each weight, all in one pass."""
-    train, test = split.train_and_test(RT.labelled(spark, d))
+    train, test = split.train_and_test(RT.labelled(RT.store(spark, d)))
     sums = materialize(train.groupBy("item").agg(F.sum("taste").alias("s"), F.count("taste").alias("c")))
     overall = train.agg(F.avg("taste").alias("m")).scalar()
     names = [f"p{i}" for i in range(len(DAMPING))]
@@ -610,8 +616,9 @@ def sweep_best(spark, d):
     FROM ranked JOIN users USING (user_id) JOIN items USING (item_id) WHERE rank <= 20""",
 )
 def top_k_item_mean(spark, d):
-    users, items = RT.dimensions_of(spark, d)
-    table = RT.labelled(spark, d)
+    docs = RT.store(spark, d)
+    users, items = R.dimensions(docs)
+    table = RT.labelled(docs)
     predictions = R.with_ids(RT.scored(table), users, items).select("user_id", "item_id", "prediction")
     allowed = RC.allow_list(table.join(items, "item"))
     named = RC.named(recommend.rank_items(predictions, 20, allowed), users, items)
@@ -626,8 +633,9 @@ def top_k_item_mean(spark, d):
       ON r.user_id = s.user_id AND r.item_id = s.item_id""",
 )
 def prediction_lookup(spark, d):
-    users, items = RT.dimensions_of(spark, d)
-    table = RT.labelled(spark, d)
+    docs = RT.store(spark, d)
+    users, items = R.dimensions(docs)
+    table = RT.labelled(docs)
     stored = R.with_ids(RT.scored(table).where("split = 'test'"), users, items)
     requests = R.with_ids(table, users, items).select("user_id", "item_id")
     found = recommend.look_up(stored.select("user_id", "item_id", "prediction"), requests, missing_as_zero=True)
@@ -934,9 +942,10 @@ def factorization_predictions(spark, d):
 
 @query("side_factorization_predictions")
 def side_factorization_predictions(spark, d):
-    users, items = RT.dimensions_of(spark, d)
-    side = I.item_side_data(RT.reviews(spark, d), items).select("item_id", "style", "maker", "abv", "calories")
-    pairs = R.with_ids(RT.rated(spark, d), users, items)
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    users, items = R.dimensions(docs)
+    side = I.item_side_data(docs, items).select("item_id", "style", "maker", "abv", "calories")
+    pairs = R.with_ids(R.rated_reviews(docs), users, items)
     labelled = split.hash_split(pairs, ["review_id"]).select("user_id", "item_id", "taste", "split")
     train, test = split.train_and_test(materialize(labelled.join(side, "item_id")))
     model = models.fit_side_factorization(train, ["style", "maker", "abv", "calories"], num_features=1 << 16)

@@ -29,7 +29,7 @@ def impute_mode(side: DataFrame, *columns: str) -> DataFrame:
 
 def item_side_data(reviews: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """One row per distinct item description, imputed, numeric and with the item's id."""
-    side = raw_side_data(reviews)
+    side = materialize(raw_side_data(reviews))  # one row per item, read for both modes, the ids and the result
     items = dense_ids(side, "item", "item_id") if items is None else items
     filled = impute_mode(side, "abv", "calories")
     return filled.join(items, "item", "left").select(

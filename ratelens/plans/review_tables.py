@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratelens.functions.scalars import MISSING
 from ratelens.operators.relational import first_per_key
 from ratelens.operators.split import hash_split
-from ratelens.plans.ratings import dimensions, rated_reviews, with_ids
+from ratelens.plans.ratings import item_user_pairs, rated_reviews
 from ratelens.session import materialize, spread
 
 # A review's place in time; with the rating it is total up to identical rows.
@@ -84,13 +84,18 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stored_reviews(spark: SparkSession, folder: str, region: str | None = None) -> DataFrame:
+def stored_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """The first review per key, as the document store keeps it."""
-    found = reviews(spark, folder)
-    if region is not None:
-        # The key holds the item and the item fixes the region, so the filter may come first.
-        found = found.where(F.col("region") == F.lit(region))
-    return first_per_key(found, ["review_id"], [F.col(c) for c in REVIEW_ORDER])
+    return first_per_key(reviews(spark, folder), ["review_id"], [F.col(c) for c in REVIEW_ORDER])
+
+
+def store(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """The document store as a table, for queries that read it more than once.
+
+    Holds what the rating tables need and the columns named in `more`.
+    """
+    columns = ["review_id", "item", "user_name", "taste", "appdata", *more]
+    return materialize(stored_reviews(spark, folder).select(*columns))
 
 
 def rated(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,14 +103,9 @@ def rated(spark: SparkSession, folder: str) -> DataFrame:
     return rated_reviews(stored_reviews(spark, folder), keep=("appdata",))
 
 
-def dimensions_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    # Duplicates do not change the set of names, so the ids skip the de-duplication.
-    return dimensions(reviews(spark, folder))
-
-
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Rating table with ids and the application flag."""
-    return with_ids(rated(spark, folder), *dimensions_of(spark, folder))
+    return item_user_pairs(store(spark, folder), keep=("appdata",))
 
 
 def item_mean_predictions(train: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -114,9 +114,9 @@ def item_mean_predictions(train: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(means, "item", "inner")
 
 
-def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Rating table by name with its train/test split, written once as it is read twice."""
-    return materialize(hash_split(rated(spark, folder), ["review_id"]))
+def labelled(docs: DataFrame) -> DataFrame:
+    """Rating table by name with its train/test split."""
+    return hash_split(rated_reviews(docs), ["review_id"])
 
 
 def scored(table: DataFrame) -> DataFrame:
