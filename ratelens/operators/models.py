@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.feature import FeatureHasher, SQLTransformer
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.regression import FMRegressor
 from pyspark.sql import Column, DataFrame
@@ -143,8 +143,11 @@ def fit_side_factorization(
     """Factorization machine over user, item and side data.
 
     Features are hashed into `num_features` positions: the weights, which the solver keeps on
-    the driver, have a fixed size whatever the number of users and items.
+    the driver, have a fixed size whatever the number of users and items. Ratings are centred
+    for the fit, so that the few gradient steps need not find the overall mean first.
     """
+    mean = float(ratings.agg(F.avg(rating)).first()[0])
+    centred = ratings.withColumn("_centred", F.col(rating) - F.lit(mean))
     hasher = FeatureHasher(
         inputCols=["user_id", "item_id", *side_columns],
         outputCol="features",
@@ -153,11 +156,15 @@ def fit_side_factorization(
     )
     machine = FMRegressor(
         featuresCol="features",
-        labelCol=rating,
+        labelCol="_centred",
+        predictionCol="_deviation",
         factorSize=num_factors,
         regParam=reg,
         maxIter=iterations,
         stepSize=0.1,
         seed=seed,
     )
-    return Pipeline(stages=[hasher, machine]).fit(ratings)
+    restore = SQLTransformer(
+        statement=f"SELECT * EXCEPT (features, _deviation), _deviation + {mean}D AS prediction FROM __THIS__"
+    )
+    return Pipeline(stages=[hasher, machine, restore]).fit(centred)

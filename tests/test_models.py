@@ -60,7 +60,9 @@ def test_factorization_beats_the_mean(parts):
 def test_side_factorization_runs(parts):
     train, test = (p.withColumn("style", (F.col("item_id") % 3).cast("string")) for p in parts)
     fitted = models.fit_side_factorization(train, ["style"], num_factors=4, iterations=40, num_features=1 << 10)
-    assert math.isfinite(_rmse(fitted.transform(test)))
+    predicted = fitted.transform(test)
+    assert _rmse(predicted) < 0.8 * _baseline(parts)
+    assert set(predicted.columns) == {*test.columns, "prediction"}
 
 
 def test_ranking_model(parts):
