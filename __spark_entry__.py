@@ -975,9 +975,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return als_top20(spark, "/root/testdata/sf0.001")
 
 
+def _corpus_queries() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data subpackage; none where the subpackage is not installed."""
+    try:
+        import ratelens.llm  # noqa: F401
+    except ModuleNotFoundError as missing:
+        if missing.name != "ratelens.llm":
+            raise
+        return {}, {}
+    from ratelens.llm import queries as corpus
+
+    return corpus.queries(), corpus.oracle_sql()
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_corpus_queries()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **_corpus_queries()[1]}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +25,14 @@ def build_session(app_name: str = "ratelens", **conf: str) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the session; a temporary one only in local mode."""
+    """Checkpoint folder of the session: `spark.checkpoint.dir`, else one beside the warehouse, which is shared too."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="ratelens-checkpoint-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     context.setCheckpointDir(configured)
     return configured
 
@@ -64,6 +61,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def drop_materialized(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` returned and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles():
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def release_materialized(spark: SparkSession) -> None:
     """Delete the tables that `materialize` wrote in this session, once their results are used up."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
