@@ -83,7 +83,8 @@ def remove_repeated_lines(
     covered = materialize(covered_lines(docs, id, text, window))
     gone = covered.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("covered").alias("_covered"))
     mark = text_key(F.col(text))[0]
-    joined = docs.join(gone, F.col(id).eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left")
+    # Merged at every size: the removals grow with the corpus, so they are never broadcast.
+    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left")
     columns = {text: F.when(F.col("_covered").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_covered")))}
     out = replaced(joined, **columns, removed_lines=F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("int"))
     if length and length in docs.columns:
