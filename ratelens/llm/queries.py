@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratelens.llm import fingerprints, langid, line_dedup, near_dedup, packing, sharding
+from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, sharding, topk, url_filter
 from ratelens.llm.common import remainder_of_id, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,23 @@ def op6_line_dedup(spark, d):
 def op3_minhash_near_dedup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return near_dedup.near_duplicate_classes(docs).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+@query("op8_maxent_lm")
+def op8_maxent_lm(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = remainder_of_id("doc_id", 7) == 2
+    given = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return lm.lm_scores(given, docs.where(~held_out).select("text"))
+
+
+@query("op9_impact_topk")
+def op9_impact_topk(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op10_url_trust", url_filter.oracle_sql())
+def op10_url_trust(spark, d):
+    judged = url_filter.judge_urls(table(spark, d, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
