@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, sharding, topk, url_filter
+from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, pieces, sharding, topk, url_filter
 from ratelens.llm.common import remainder_of_id, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,10 @@ def op9_impact_topk(spark, d):
 def op10_url_trust(spark, d):
     judged = url_filter.judge_urls(table(spark, d, "pages").select("page_id", "url", "html"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark, d):
+    coded = pieces.with_pieces(table(spark, d, "documents").select("doc_id", "text"))
+    same = F.col("decoded") == text_or_empty("text")
+    return coded.select("doc_id", "ids", "n_ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), same.alias("round_trip"))
