@@ -15,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.llm.common import number_within, replaced, text_or_empty
@@ -213,9 +213,11 @@ def _encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k") -> DataFrame:
+def token_pieces(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", width: int = 4
+) -> DataFrame:
     """One row per piece: id, piece (from 0), start (tokens before it), length, and its token ids as
-    little-endian unsigned 32-bit numbers (binary `ids`).
+    little-endian unsigned numbers of `width` bytes (binary `ids`).
 
     A document is its text's ids and an end id (0); a null text counts as empty, so every document has a
     token. Only a document longer than `capacity` is cut, into full pieces after a shorter first one.
@@ -226,7 +228,7 @@ def token_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capaci
         for frame in frames:
             out: dict[str, list] = {"id": [], "piece": [], "start": [], "length": [], "ids": []}
             for key, words in zip(frame["id"], frame["text"]):
-                ids = np.array([*encode.encode(words, allowed_special="all"), END_ID], "<u4")
+                ids = np.array([*encode.encode(words, allowed_special="all"), END_ID], f"<u{width}")
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
@@ -239,14 +241,25 @@ def token_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capaci
     return given.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id)
 
 
+def _widened(ids: Column) -> Column:
+    """Ids of two bytes each as ids of four."""
+
+    @F.pandas_udf("binary")
+    def widen(parts: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(p, "<u2").astype("<u4").tobytes() for p in parts], dtype=object)
+
+    return widen(ids)
+
+
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their `sequence_id` and `offset`: `token_pieces` placed by `place`.
 
+    The ids of the vocabulary fit two bytes, in which they are stored and shuffled; `ids` has four bytes each.
     Repeated rows are packed once each; a null id is carried along. Other columns of `docs` play no part.
     """
-    made = materialize(token_pieces(docs, id, text, capacity).withColumn("_piece", F.monotonically_increasing_id()))
+    made = materialize(token_pieces(docs, id, text, capacity, width=2).withColumn("_piece", F.monotonically_increasing_id()))
     placed = place(made.select("_piece", "length"), "_piece", "length", capacity)
-    return made.join(placed, "_piece").drop("_piece")
+    return replaced(made.join(placed, "_piece").drop("_piece"), ids=_widened(F.col("ids")))
 
 
 def packed_tokens(packed: DataFrame) -> DataFrame:
