@@ -43,35 +43,45 @@ def _grams(texts: list[str], positions: int) -> Iterator[tuple[np.ndarray, np.nd
     """For blocks of the texts: the number of each n-gram's text (rising) and its hashed position.
 
     Letters are in lower case; every run of other characters counts as one blank, as do both ends of a text.
+    What a text gives does not depend on the texts beside it.
     """
-    whole = np.frombuffer((" " + " ".join(t.lower() for t in texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
-    ends = np.cumsum(lengths + 1)
-    for begin in range(0, len(whole), BLOCK):
-        part = whole[begin : begin + BLOCK + 64]  # the overlap holds the n-grams that begin in this block
-        letter = _letters()[part]
-        codes = np.where(letter, part, np.uint32(32))
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]  # the first blank after a letter stays
-        if begin == 0:
-            keep[0] = True
-        at = np.flatnonzero(keep)
-        codes = codes[at]
-        place = at + begin
-        owner = np.searchsorted(ends, place, side="left")  # a blank belongs to the text before it
-        inside = at < BLOCK
-        hashed = np.zeros(len(codes), np.uint32)
-        for n in range(1, max(ORDERS) + 1):
-            if len(codes) < n:
+    lowered = [t.lower() for t in texts]
+    sizes = np.cumsum([0, *map(len, lowered)])
+    begin = 0
+    while begin < len(lowered):
+        upto = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + BLOCK, side="right")) - 1)
+        for owner, position in _grams_of(lowered[begin:upto], positions):
+            yield owner + begin, position
+        begin = upto
+
+
+def _grams_of(lowered: list[str], positions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    codes = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t) + 2 for t in lowered])
+    letter = _letters()[codes]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # of a run of blanks, the one after a letter stays
+    keep[np.r_[0, ends[:-1]]] = True  # and the blank before a text
+    at = np.flatnonzero(keep)
+    codes = np.where(letter[at], codes[at], np.uint32(32))
+    owners = np.searchsorted(ends, at, side="right")
+    longest = max(ORDERS)
+    for first in range(0, len(codes), BLOCK):
+        part, owner = codes[first : first + BLOCK + longest - 1], owners[first : first + BLOCK + longest - 1]
+        hashed = np.zeros(len(part), np.uint32)
+        for n in range(1, longest + 1):
+            if len(part) < n:
                 break
-            hashed = (hashed[: len(codes) - n + 1] ^ codes[n - 1 :]) * np.uint32(0x9E3779B1)
+            hashed = (hashed[: len(part) - n + 1] ^ part[n - 1 :]) * np.uint32(0x9E3779B1)
             hashed ^= hashed >> np.uint32(15)
-            if n in ORDERS:
-                mixed = hashed * np.uint32(0x85EBCA6B)
-                whole_gram = inside[: len(hashed)] & (owner[: len(hashed)] == owner[n - 1 :])
-                if n == 1:
-                    whole_gram &= codes != 32
-                yield owner[: len(hashed)][whole_gram], (mixed >> np.uint32(16))[whole_gram] & np.uint32(positions - 1)
+            if n not in ORDERS:
+                continue
+            own = slice(0, min(BLOCK, len(hashed)))  # those that begin in this block
+            whole = (owner[: len(hashed)] == owner[n - 1 :])[own]
+            if n == 1:
+                whole &= part[own] != 32
+            mixed = (hashed[own] * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+            yield owner[own][whole], mixed[whole] & np.uint32(positions - 1)
 
 
 @dataclass

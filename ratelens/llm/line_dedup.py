@@ -22,7 +22,7 @@ def _lines(text: Column) -> Column:
 
 def _windows(text: Column, size: int) -> Column:
     """Array of (at, a, b): the number of the window's first line among those not blank, and its 128-bit hash."""
-    trimmed = F.filter(F.transform(_lines(text), F.trim), lambda line: line != "")
+    trimmed = F.filter(F.transform(_lines(text), lambda line: F.trim(line)), lambda line: line != "")
     hashed = F.transform(trimmed, lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b")))
 
     def window(lines: Column, i: Column) -> Column:

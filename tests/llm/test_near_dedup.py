@@ -1,0 +1,145 @@
+import random
+import re
+from itertools import combinations
+
+import numpy as np
+from frames import clashing, frame, odd_rows, row, sentence
+from pyspark.sql import functions as F
+
+from ratelens.llm import near_dedup as nd
+
+
+def shingle_set(text):
+    words = re.findall(r"\w+", text.lower())
+    if 0 < len(words) < 5:
+        return {tuple(words)}
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def brute_force(rows):
+    """Class of each row: connected by equal texts or a Jaccard similarity of 0.8; named by the smallest id."""
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [None if t is None else shingle_set(t) for _, t, *_ in rows]
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] is None or sets[j] is None:
+            continue
+        union = sets[i] | sets[j]
+        if rows[i][1] == rows[j][1] or (union and len(sets[i] & sets[j]) / len(union) >= 0.8):
+            parent[find(i)] = find(j)
+    members = {}
+    for i in range(len(rows)):
+        members.setdefault(find(i), []).append(i)
+    out = {}
+    for own in members.values():
+        ids = [rows[i][0] for i in own if rows[i][0] is not None]
+        for i in own:
+            out[i] = min(ids) if ids else None
+    return [(rows[i][0], rows[i][1], out[i]) for i in range(len(rows))]
+
+
+def copies(seed=2):
+    """Groups of near copies around a base (siblings are less alike than 0.8), exact copies, and unrelated texts."""
+    rng = random.Random(seed)
+    rows, key = [], 0
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(rng.choice((1, 2, 6))):
+            words = list(base)
+            for at in rng.sample(range(0, 120, 12), rng.choice((0, 1, 2))):
+                words[at] = f"changed{rng.randrange(10**6)}"
+            rows.append(row(key := key + 1, " ".join(words)))
+    hub = [f"h{i}" for i in range(200)]
+    rows.append(row(key := key + 1, " ".join(hub)))
+    for _ in range(60):  # each close to the hub, not to each other
+        words = list(hub)
+        for at in rng.sample(range(2, 200, 10), 4):
+            words[at] = f"own{rng.randrange(10**6)}"
+        rows.append(row(key := key + 1, " ".join(words)))
+    rows += [row(key + 1 + i, rows[5][1]) for i in range(30)]
+    return rows
+
+
+def classes(spark, rows):
+    found = nd.near_duplicate_classes(frame(spark, rows)).collect()
+    return sorted(((r["doc_id"], r["text"], r["class_id"]) for r in found), key=repr)
+
+
+def test_classes_equal_brute_force(spark):
+    rows = copies()
+    assert classes(spark, rows) == sorted(brute_force(rows), key=repr)
+
+
+def test_odd_rows_equal_brute_force(spark):
+    rows = odd_rows()
+    expected = [(k, t, k if t is None else c) for k, t, c in brute_force(rows)]
+    assert classes(spark, rows) == sorted(expected, key=repr)
+
+
+def test_pairs_outside_the_hub_are_still_compared(spark):
+    # A chain: each text is close to the next, far from the one after it.
+    words = [f"c{i}" for i in range(400)]
+    rows = [row(i, " ".join(words[10 * i : 10 * i + 120])) for i in range(12)]
+    assert len({c for _, _, c in brute_force(rows)}) == 1
+    assert classes(spark, rows) == sorted(brute_force(rows), key=repr)
+
+
+def test_keep_one(spark):
+    rows = copies() + odd_rows()
+    docs = clashing(frame(spark, rows))
+    kept = nd.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    expected = {(c, t) if k == c else None for k, t, c in brute_force(rows) if t is not None} - {None}
+    assert {x for x in found if x[1] is not None} >= {x for x in expected if rows.count(row(*x)) == 1 and x[0] not in (6, None)}
+    assert len([x for x in found if x[1] is None]) == len([r for r in rows if r[1] is None])
+    texts = {x[1] for x in found if x[1] is not None}
+    assert len(texts) == len([x for x in found if x[1] is not None])
+
+
+def test_empty_table(spark):
+    docs = frame(spark, copies()).where(F.lit(False))
+    assert nd.near_duplicate_classes(docs).count() == 0
+    assert nd.keep_one(docs).count() == 0
+
+
+def test_registers_estimate_probability_jaccard():
+    rng = np.random.default_rng(4)
+    universe = rng.integers(0, 2**63, 400).astype(np.uint64)
+    left, right = universe[:300], universe[100:]
+    weight = rng.integers(1, 6, 400).astype(float)
+    owner = np.r_[np.zeros(300, int), np.ones(300, int)]
+    agree = []
+    for turn in range(12):
+        elements = np.r_[left, right] ^ np.uint64(turn * 7919)
+        held = nd.sketch(owner, elements, np.r_[weight[:300], weight[100:] * np.r_[np.ones(200) * 2, np.ones(100)]], 2)
+        agree.append((held[0] == held[1]).mean())
+    a, b = np.zeros(400), np.zeros(400)
+    a[:300], b[100:] = weight[:300], weight[100:] * np.r_[np.ones(200) * 2, np.ones(100)]
+    exact = sum(1 / sum(max(a[j] / a[i], b[j] / b[i]) for j in range(400)) for i in range(400) if a[i] and b[i])
+    assert abs(np.mean(agree) - exact) < 0.04
+
+
+def test_exact_similarities():
+    rng = random.Random(9)
+    texts = [np.array([rng.randrange(40) for _ in range(n)], np.int64) for n in (0, 3, 60, 200, 60)]
+    other = [np.array(t) for t in texts]
+    other[2][30] = 77
+    other[3] = np.r_[texts[3], texts[3][:50]]
+    other[4] = texts[1]
+    plain, weighted = nd.similarities(texts, other)
+    for i, (x, y) in enumerate(zip(texts, other)):
+        counts = []
+        for t in (x, y):
+            grams = [tuple(t[k : k + 5]) for k in range(len(t) - 4)] if len(t) >= 5 else [tuple(t)] if len(t) else []
+            counts.append({g: grams.count(g) for g in grams})
+        a, b = counts
+        every = set(a) | set(b)
+        assert plain[i] == (len(set(a) & set(b)) / len(every) if every else 0)
+        exact = sum(1 / sum(max(a.get(j, 0) / a[k], b.get(j, 0) / b[k]) for j in every) for k in set(a) & set(b))
+        assert abs(weighted[i] - exact) < 1e-9
