@@ -1,0 +1,57 @@
+import random
+
+import duckdb
+import pytest
+from frames import frame, odd_rows, row, sentence
+from pyspark.sql import functions as F
+from test_line_dedup import brute_force as lines_removed
+from test_near_dedup import brute_force as near_classes
+
+import corpus_pipeline as pipeline
+
+
+def corpus():
+    rng = random.Random(11)
+    rows = [row(i, "\n".join(sentence(rng, lang, 14) for _ in range(4)), lang) for i, lang in enumerate(("en", "de", "es") * 30)]
+    notice = "\n".join(sentence(rng, "en", 10) for _ in range(4))
+    rows += [row(500 + i, f"{sentence(rng, 'en', 30)}\n{notice}\n{sentence(rng, 'en', 20)}") for i in range(8)]
+    words = rows[4][1].split(" ")
+    rows += [row(600 + i, " ".join(words[:20] + [f"changed{i}"] + words[21:]), "de") for i in range(5)]
+    return rows + [row(700, "!!! 123 ???"), row(701, ""), row(702, None)]
+
+
+def test_every_stage_against_brute_force(spark):
+    docs = frame(spark, corpus())
+    language, lines, near, packed = [f for _, f in pipeline.STAGES]
+    first = language(spark, docs, "").cache()
+    assert first.columns == docs.columns
+    assert sorted(r["doc_id"] for r in first.collect()) == sorted(r[0] for r in corpus() if r[0] < 700)
+    second = lines(spark, first, "").cache()
+    assert second.columns == docs.columns
+    expected = lines_removed([tuple(r) for r in first.collect()])
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in second.collect()), key=repr) == [e[:3] for e in expected]
+    assert sum(e[3] for e in expected) >= 7 * 4
+    third = near(spark, second, "").cache()
+    assert third.columns == docs.columns
+    kept = {c for _, _, c in near_classes([tuple(r) for r in second.collect()])}
+    assert {r["doc_id"] for r in third.collect()} == kept and third.count() == len(kept) < second.count()
+    last = packed(spark, third, "")
+    assert {r["doc_id"] for r in last.select("doc_id").collect()} == kept
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_odd_and_empty_tables(spark, rows, tmp_path):
+    docs = frame(spark, odd_rows() if rows == "odd" else odd_rows()[:1])
+    docs = docs if rows == "odd" else docs.where(F.lit(False))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = pipeline.run(spark, str(tmp_path))
+    assert (out.count() == 0) == (rows == "none")
+
+
+def test_registered_queries(spark):
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert set(entry.oracle_sql()) <= set(names)
+    assert duckdb.__version__

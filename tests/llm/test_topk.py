@@ -1,0 +1,65 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ratelens.llm import topk
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute_force(rows, is_query, k=10):
+    ok = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, q in ok:
+        if is_query(i):
+            scored = sorted((-int(q @ v), j) for j, v in ok if j != i)[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    return sorted(out)
+
+
+def run(spark, rows, k=10, every=5):
+    vectors = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    return sorted(map(tuple, topk.top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k).collect()))
+
+
+@pytest.mark.parametrize("kind", ["normal", "sparse", "skewed", "ties"])
+def test_equals_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_VECTORS", 90)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(topk, "LOOK_EVERY", 8)
+    monkeypatch.setattr(topk, "FEW", 4)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(260, 16))
+    if kind == "sparse":
+        x *= rng.random(x.shape) < 0.15
+    elif kind == "skewed":
+        x[:, 0] *= 30
+    elif kind == "ties":
+        x = np.repeat(x[:5], 52, axis=0)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    assert run(spark, rows) == brute_force(rows, lambda i: i % 5 == 0)
+
+
+def test_odd_vectors_few_candidates_and_empty(spark):
+    rows = [
+        (0, [1.0, 2.0], 1), (5, [0.5, -1.0], 1), (2, None, 1), (3, [1.0, None], 1), (10, [float("nan"), 1.0], 1),
+        (15, [float("inf"), 1.0], 1), (None, [1.0, 1.0], None), (4, [3.0, 3.0], None), (20, [], 1),
+    ]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    found = sorted(map(tuple, topk.top_k(vectors, vectors.where("vec_id % 5 = 0")).collect()))
+    padded = [(i, (v if v else [0.0, 0.0]) if v is not None else None, n) for i, v, n in rows]
+    assert found == brute_force(padded, lambda i: i % 5 == 0)
+    assert topk.top_k(vectors.where(F.lit(False)), vectors).count() == 0
+    assert topk.top_k(vectors, vectors.where(F.lit(False))).count() == 0
+
+
+def test_a_search_stops_early_on_proof():
+    rng = np.random.default_rng(2)
+    x = (rng.random((5000, 32)) < 0.05) * rng.integers(200, 1000, (5000, 32))
+    index = topk.ImpactIndex(np.arange(5000), x)
+    looked = []
+    exact = index.exact
+    index.exact = lambda q, at: looked.append(len(at)) or exact(q, at)
+    ids, scores = index.search(-1, x[17], 10)
+    full = np.lexsort((np.arange(5000), -(x @ x[17])))[:10]
+    assert list(ids) == list(full) and max(looked) < 2500
