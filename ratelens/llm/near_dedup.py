@@ -9,10 +9,11 @@ with all weights one, for which that similarity is the plain Jaccard similarity
 
 Texts whose sketches agree in all registers of a band meet in a bucket. A link is two different texts of a bucket
 whose plain Jaccard similarity, worked out from their shingles, is at least the threshold. Classes are the
-connected components of links and equal texts. In a bucket, all are compared with a hub, the member that shares
-the most bands; then only members that lie in another component than the hub are compared with the rest, and only
-where the triangle inequality of the Jaccard distance leaves a link possible. So a group of thousands
-of near copies costs about one comparison each, and no link of a bucket is lost.
+connected components of links and equal texts. In a crowded bucket, a text most of whose shingles nobody else has is left
+out first, as it can have no link. Then all are compared with up to three hubs, members that share the most bands, and
+only members that lie in another component than the main hub are compared with the rest: only where the
+triangle inequality of the Jaccard distance, and the shingles they share with anyone, leave a link possible. So a
+group of thousands of near copies costs a few comparisons each, and no link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ THRESHOLD = 0.8
 #: 24 bands of 6 registers: two texts of similarity 0.8 meet with probability 0.9993, of 0.5 with 0.31.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
-#: While the members outside their hub's component make more pairs than so many each, another round with new hubs goes before comparing them all.
-PAIRS_PER_MEMBER = 8
-MOST_HUB_ROUNDS = 6
+#: In buckets of more texts, those that share too few shingles with any other are left out first.
+CROWD = 32
 #: Words sketched at a time.
 BLOCK_WORDS = 400_000
 
@@ -228,20 +228,64 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("r.a").alias("ra"), F.col("r.b").alias("rb"))
 
 
-def _with_hubs(members: DataFrame) -> DataFrame:
-    """Members (bucket, a, b, n) with `ha`, `hb`: the bucket's member whose buckets hold the most texts."""
-    busy = materialize(members.groupBy("a", "b").agg(F.sum("n").alias("busy")))
-    ranked = members.join(busy, ["a", "b"])
-    hubs = materialize(ranked.groupBy("bucket").agg(F.max(F.struct("busy", "a", "b")).alias("hub")))
-    return members.join(hubs, "bucket").select("bucket", "a", "b", "n", F.col("hub.a").alias("ha"), F.col("hub.b").alias("hb"))
-
-
 def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.drop("ra", "rb").join(roots, ["a", "b"], "left").withColumns(
         {"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}
     )
 
 
+def shingle_column(words: Column) -> Column:
+    """Array of the different shingles of a text's word hashes."""
+
+    @F.pandas_udf("array<long>")
+    def distinct(series: pd.Series) -> pd.Series:
+        out: list[np.ndarray] = []
+        for i in range(0, len(series), 256):
+            part = [np.asarray(t, np.int64) for t in series[i : i + 256]]
+            owner, what, _ = shingles(part)
+            out += np.split(what.view(np.int64), np.searchsorted(owner, np.arange(1, len(part))))
+        return pd.Series(out, dtype=object)
+
+    return distinct(words)
+
+
+def _crowded(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, size, shared): for texts of buckets above CROWD their number of shingles, and of those that another such text has too."""
+    crowd = members.where(F.col("n") > CROWD).select("a", "b").distinct()
+    held = texts.join(crowd, ["a", "b"]).select("a", "b", shingle_column(word_hashes(F.col("text"))).alias("s"))
+    held = materialize(held)
+    single = held.select("a", "b", F.explode("s").alias("shingle")).groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b")
+    )
+    own = single.where("n = 1").groupBy("a", "b").agg(F.count("*").alias("own"))
+    sized = held.select("a", "b", F.size("s").alias("size"))
+    return materialize(sized.join(own, ["a", "b"], "left").select("a", "b", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
+
+
+def _hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of every member with its bucket's hubs, and (bucket, ha, hb): the main hub.
+
+    Hubs are the members whose buckets hold the most texts, one of each third of the texts; the busiest is the main one.
+    """
+    busy = materialize(members.groupBy("a", "b").agg(F.sum("n").alias("busy")))
+    ranked = members.join(busy, ["a", "b"])
+    one = F.struct("busy", "a", "b")
+    thirds = [F.max(F.when(F.pmod("a", F.lit(3)) == k, one)).alias(f"h{k}") for k in range(3)]
+    hubs = materialize(ranked.groupBy("bucket").agg(*thirds).select("bucket", F.array_compact(F.array("h0", "h1", "h2")).alias("hubs")))
+    met = members.join(hubs, "bucket").select("a", "b", F.explode("hubs").alias("h"))
+    pairs = met.where((F.col("a") != F.col("h.a")) | (F.col("b") != F.col("h.b")))
+    main = hubs.select("bucket", F.array_max("hubs").alias("h"))
+    return _ordered(pairs.select(F.struct("a", "b").alias("x"), F.struct(F.col("h.a").alias("a"), F.col("h.b").alias("b")).alias("y"))), main.select(
+        "bucket", F.col("h.a").alias("ha"), F.col("h.b").alias("hb")
+    )
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Different pairs (xa, xb, ya, yb) from structs x and y, the smaller first."""
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    return pairs.select(low["a"].alias("xa"), low["b"].alias("xb"), high["a"].alias("ya"), high["b"].alias("yb")).distinct()
+
+
 def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(xa, xb, ya, yb, distance): links between different texts, given by the keys of `text_key`.
 
@@ -249,60 +293,60 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     known to be connected need not be among them.
     """
     keyed = docs.where(F.col(text).isNotNull()).select(*[k.alias(n) for k, n in zip(text_key(F.col(text)), "ab")], F.col(text).alias("text"))
-    sketched = materialize(keyed.select("a", "b", band_column(word_hashes(F.col("text"))).alias("bands")).distinct())
-    spread_out = sketched.select("a", "b", F.explode("bands").alias("bucket")).distinct()
+    bands = F.array_distinct(band_column(word_hashes(F.col("text"))))
+    sketched = materialize(keyed.select("a", "b", bands.alias("bands")).distinct())
+    spread_out = sketched.select("a", "b", F.explode("bands").alias("bucket"))
     shared = materialize(spread_out.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     members = materialize(spread_out.join(shared, "bucket").select("bucket", "a", "b", "n"))
     wanted = materialize(members.select("a", "b").distinct())
-    texts = materialize(keyed.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("text").alias("text")))
+    # Copies meet before the shuffle; always merged, as the texts wanted grow with the corpus.
+    texts = materialize(keyed.groupBy("a", "b").agg(F.first("text").alias("text")).join(wanted.hint("merge"), ["a", "b"]))
     drop_materialized(sketched)
     reach = 1 - threshold + 1e-12
-    found: DataFrame | None = None  # all links so far
-    for turn in range(MOST_HUB_ROUNDS + 1):
-        with_hub = materialize(_with_hubs(members))
-        to_hub = with_hub.where((F.col("a") != F.col("ha")) | (F.col("b") != F.col("hb"))).select(
-            F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("ha").alias("ya"), F.col("hb").alias("yb")
-        )
-        checked = materialize(_verified(to_hub.distinct(), texts))
-        linked = checked.where(F.col("distance") <= reach)
-        found = linked if found is None else materialize(found.union(linked))
-        placed = materialize(_beside_hub(with_hub, checked, components(found)))
-        outside = placed.where("outside")
-        zone = materialize(_possible_pairs(outside, placed.where("NOT outside"), reach).distinct())
-        found = materialize(found.union(_verified(zone, texts).where(F.col("distance") <= reach)))
-        members = materialize(outside.groupBy("bucket", "a", "b").agg(F.first("n").alias("n")).select("bucket", "a", "b", "n"))
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("out"))
-        work = sizes.agg(F.sum(F.col("out") * F.col("out")), F.sum("out")).head()
-        if turn == MOST_HUB_ROUNDS or (work[0] or 0) <= PAIRS_PER_MEMBER * (work[1] or 0):
-            break
-    ordered = (F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("xb") < F.col("yb")))
-    rest = materialize(_possible_pairs(outside, outside, reach).where(ordered).distinct())
+    # A text of a crowded bucket shares too little with all others there if too many of its shingles are its own.
+    known = _crowded(members, texts)
+    sized = members.join(known, ["a", "b"], "left").withColumn("size", F.when(F.col("n") > CROWD, F.col("size")))
+    members = materialize(sized.where(F.col("size").isNull() | (F.col("shared") >= threshold * F.col("size"))))
+    to_hub, main = _hub_pairs(members)
+    checked = materialize(_verified(materialize(to_hub), texts))
+    found = checked.where(F.col("distance") <= reach)
+    placed = materialize(_beside_hub(members, main, checked, components(found)))
+    rest = materialize(_possible_pairs(placed, reach))
     return found.union(_verified(rest, texts).where(F.col("distance") <= reach))
 
 
-def _beside_hub(with_hub: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their component, their distance to the hub, and whether they lie outside the hub's component."""
-    to_hub = checked.select(F.col("xa").alias("a"), F.col("xb").alias("b"), F.col("ya").alias("ha"), F.col("yb").alias("hb"), "distance")
+def _beside_hub(members: DataFrame, main: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their component, their distance to the main hub, and whether they lie outside its component."""
+    x, y = F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b"))
+    either = checked.select(F.explode(F.array(F.struct(x.alias("m"), y.alias("h")), F.struct(y.alias("m"), x.alias("h")))).alias("p"), "distance")
+    to_hub = either.select(F.col("p.m.a").alias("a"), F.col("p.m.b").alias("b"), F.col("p.h.a").alias("ha"), F.col("p.h.b").alias("hb"), "distance")
+    with_hub = members.join(main, "bucket")
     rooted = _with_roots(with_hub, roots).join(to_hub, ["a", "b", "ha", "hb"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    rooted = materialize(rooted)
-    hubs = rooted.where((F.col("a") == F.col("ha")) & (F.col("b") == F.col("hb")))
-    hubs = materialize(hubs.select("bucket", F.col("ra").alias("hra"), F.col("rb").alias("hrb")))
+    hub_roots = _with_roots(main.select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct(), roots)
+    hub_roots = hub_roots.select(F.col("a").alias("ha"), F.col("b").alias("hb"), F.col("ra").alias("hra"), F.col("rb").alias("hrb"))
     apart = (F.col("ra") != F.col("hra")) | (F.col("rb") != F.col("hrb"))
-    return rooted.join(hubs, "bucket").withColumn("outside", apart).drop("hra", "hrb")
+    return rooted.join(hub_roots, ["ha", "hb"]).select("bucket", "a", "b", "ra", "rb", "size", "shared", "distance", apart.alias("outside"))
 
 
-def _possible_pairs(some: DataFrame, others: DataFrame, reach: float) -> DataFrame:
-    """Pairs (xa, xb, ya, yb) of a bucket in different components whose distances to the hub differ by `reach` at most.
+def _possible_pairs(placed: DataFrame, reach: float) -> DataFrame:
+    """Pairs of a bucket in different components that may still be linked.
 
-    Others cannot be linked, by the triangle inequality. The distances are cut into steps of `reach`, so that only
-    neighbouring steps meet.
+    One of the two lies outside the main hub's component. Their distances to the main hub must differ by `reach` at most
+    (triangle inequality; the distances are cut into steps of `reach`, so that only neighbouring steps meet), and
+    where the shingles that they share with others are known, those must suffice for the similarity.
     """
     step = F.floor(F.col("distance") / reach).cast("int")
-    x = some.select("bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"), *[F.col(c).alias(f"x{c}") for c in ("a", "b", "ra", "rb", "distance")])
-    y = others.select("bucket", step.alias("step"), *[F.col(c).alias(f"y{c}") for c in ("a", "b", "ra", "rb", "distance")])
+    columns = ("a", "b", "ra", "rb", "size", "shared", "distance", "outside")
+    x = placed.where("outside").select("bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"), *[F.col(c).alias(f"x{c}") for c in columns])
+    crossed = placed.join(materialize(placed.where("outside").select("bucket").distinct()), "bucket")
+    y = crossed.select("bucket", step.alias("step"), *[F.col(c).alias(f"y{c}") for c in columns])
     apart = (F.col("xra") != F.col("yra")) | (F.col("xrb") != F.col("yrb"))
+    once = ~F.col("youtside") | (F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("xb") < F.col("yb")))
     near = F.abs(F.col("xdistance") - F.col("ydistance")) <= reach + 1e-9
-    return x.join(y, ["bucket", "step"]).where(apart & near).select("xa", "xb", "ya", "yb")
+    common = F.least("xshared", "yshared")
+    enough = F.coalesce(common >= (1 - reach - 1e-9) * (F.col("xsize") + F.col("ysize") - common), F.lit(True))
+    pairs = x.join(y, ["bucket", "step"]).where(apart & once & near & enough)
+    return _ordered(pairs.select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y")))
 
 
 # --------------------------------------------------------------------------- documents
