@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from ratelens.plans import items as I
 from ratelens.plans import ratings as R
 from ratelens.plans import recommendations as RC
 from ratelens.plans import review_tables as RT
-from ratelens.session import materialize
-from ratelens.sources import readers
+from ratelens.session import materialize, shared_folder
+from ratelens.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -204,7 +205,11 @@ def item_user_pairs(spark, d):
     + "SELECT review_id, item, user_name, user_id, item_id, taste FROM ratings WHERE region = 'NATION_7'",
 )
 def region_item_user_pairs(spark, d):
-    return R.item_user_pairs(RT.store(spark, d, "region"), "NATION_7")
+    # An item has one region, so the filter may go before the de-duplication; ids come from all reviews' names.
+    raw = RT.reviews(spark, d)
+    users, items = R.dimensions(raw)
+    regional = RT.first_reviews(raw.where("region = 'NATION_7'"))
+    return R.item_user_pairs(regional, users=users, items=items)
 
 
 @query(
@@ -243,7 +248,10 @@ def item_id_pairs(spark, d):
     "user_ratings", _with(_RATINGS) + "SELECT item, taste FROM ratings WHERE user_name = 'Customer#000000007'"
 )
 def user_ratings(spark, d):
-    return R.ratings_of_user(RT.rated(spark, d), "Customer#000000007")
+    # The key of a review contains its user, so the filter may go before the de-duplication.
+    name = "Customer#000000007"
+    own = RT.first_reviews(RT.reviews(spark, d).where(F.col("user_name") == name))
+    return R.ratings_of_user(R.rated_reviews(own), name)
 
 
 @query(
@@ -432,7 +440,7 @@ _MAKERS = [f"Brand#{i}" for i in range(1, 26)]
     + " FROM raw_side",
 )
 def one_hot_maker(spark, d):
-    return features.one_hot_columns(I.raw_side_data(RT.reviews(spark, d)).select("item", "maker"), "maker", "maker")
+    return features.one_hot_columns(I.raw_side_data(RT.reviews(spark, d)).select("item", "maker"), "maker", _MAKERS, "maker")
 
 
 @query(
@@ -445,7 +453,7 @@ def one_hot_maker(spark, d):
 def style_flags(spark, d):
     side = I.raw_side_data(RT.reviews(spark, d)).select("item", "style")
     top = [r["style"] for r in relational.top_values(side, "style", 30).collect()]
-    wide = features.one_hot_columns(side, "style", values=top)
+    wide = features.one_hot_columns(side, "style", top)
     return wide.unpivot("item", top, "style", "flag")
 
 
@@ -479,7 +487,7 @@ def hash_split(spark, d):
       THEN 'test' ELSE 'train' END AS split FROM ratings""",
 )
 def per_user_split(spark, d):
-    return split.split_by_user(R.rated_reviews(RT.store(spark, d))).select("review_id", "split")
+    return split.split_by_user(R.rated_reviews(RT.store(spark, d)), max_users=4000).select("review_id", "split")
 
 
 # --------------------------------------------------------------------------- evaluation
@@ -686,12 +694,12 @@ def similar_item_features(spark, d):
     "latent_rank",
     "SELECT vec_id, "
     + ", ".join(
-        f"CAST(row_number() OVER (ORDER BY embedding[{i}] DESC, vec_id) AS INTEGER) AS l{i}_rank" for i in range(1, 7)
+        f"CAST(row_number() OVER (ORDER BY embedding[{i}] DESC, vec_id) AS INTEGER) AS l{i}_rank" for i in range(1, 65)
     )
     + " FROM embeddings",
 )
 def latent_rank(spark, d):
-    return recommend.latent_ranks(RT.load(spark, d, "embeddings"), 6, key="vec_id", features="embedding")
+    return recommend.latent_ranks(RT.load(spark, d, "embeddings"), 64, key="vec_id", features="embedding")
 
 
 # --------------------------------------------------------------------------- text
@@ -891,7 +899,221 @@ def review_parse(spark, d):
     return pages.review_fields(raw, "scores", "author").drop("scores", "author")
 
 
-# --------------------------------------------------------------------------- models (rows only)
+@query(
+    "page_anchors",
+    r"""WITH raw AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 0) AS w FROM pages),
+    one AS (SELECT page_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS position, unnest(w) AS x FROM raw)
+    SELECT page_id, position, regexp_extract(x, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS href,
+           trim(regexp_replace(regexp_extract(x, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2), '<[^>]*>', '', 'g')) AS name FROM one""",
+)
+def page_anchors(spark, d):
+    return pages.anchors(RT.load(spark, d, "pages"))
+
+
+@query(
+    "unseen_names",
+    r"""WITH raw AS (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS w FROM pages),
+    one AS (SELECT page_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS position, trim(regexp_replace(unnest(w), '<[^>]*>', '', 'g')) AS name FROM raw)
+    SELECT page_id, position, name FROM one
+    WHERE lower(name) NOT IN (SELECT lower(n_name) FROM nation UNION SELECT 'the' UNION SELECT 'and')""",
+)
+def unseen_names(spark, d):
+    """Anchors whose text is not among the stored names: links are compared by text, not by address."""
+    stored = RT.load(spark, d, "nation").select(F.lower("n_name").alias("key")).union(spark.createDataFrame([("the",), ("and",)], "key string"))
+    found = pages.anchors(RT.load(spark, d, "pages")).withColumn("key", F.lower("name"))
+    return relational.only_unseen(found, stored, "key").select("page_id", "position", "name")
+
+
+@query(
+    "page_paragraphs",
+    r"""SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)[2] AS second, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)[-1] AS last
+    FROM pages WHERE nullif(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)[2], '') IS NOT NULL AND nullif(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)[-1], '') IS NOT NULL""",
+)
+def page_paragraphs(spark, d):
+    """Fields that are not the first match of their pattern."""
+    paragraph = r"(?s)<p>(.*?)</p>"
+    wanted = {"second": paragraph, "last": paragraph}
+    return pages.page_fields(RT.load(spark, d, "pages"), wanted, ("second", "last"), places={"second": 2, "last": -1})
+
+
+@query(
+    "review_text",
+    _with(_REVIEWS)
+    + """SELECT l_orderkey, l_linenumber, review_id, CAST(l_linenumber AS DOUBLE) + 0.5 AS combined,
+    trim(concat(item, ' by ', maker)) AS review FROM reviews""",
+)
+def review_text(spark, d):
+    """The overall score and the text of a review block."""
+    raw = RT.reviews(spark, d).select(
+        "review_id", "l_orderkey", "l_linenumber", F.lit("").alias("scores"), F.lit("").alias("author"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit(".5/5 of all")).alias("of_all"),
+        F.concat(F.lit("<p> <b>"), "item", F.lit("</b> by <i class='m'>"), "maker", F.lit("</i></p>")).alias("body"),
+    )
+    return pages.review_fields(raw, "scores", "author", "of_all", "body").select("l_orderkey", "l_linenumber", "review_id", "combined", "review")
+
+
+# --------------------------------------------------------------------------- sources and sinks
+#
+# Each writes rows of the given tables to the shared folder and reads them back; SQL sees the input.
+
+
+@query("document_export", _with(_DOCS) + "SELECT review_id, item, user_name, taste FROM docs WHERE region = 'NATION_7'")
+def document_export(spark, d):
+    """Documents as JSON lines, scanned with a filter and a field list."""
+    folder = shared_folder(spark, "json")
+    RT.stored_reviews(spark, d).select("review_id", "item", "user_name", "taste", "region").write.json(folder)
+    return readers.documents(spark, folder, ["review_id", "item", "user_name", "taste"], F.col("region") == "NATION_7")
+
+
+@query("csv_round_trip", _with(_SIDE) + "SELECT item, abv, maker || ', \"' || style || '\"' AS label FROM side")
+def csv_round_trip(spark, d):
+    folder = shared_folder(spark, "csv")
+    label = F.concat("maker", F.lit(', "'), "style", F.lit('"')).alias("label")
+    writers.write_csv(item_side_data(spark, d).select("item", "abv", label), folder)
+    return readers.csv(spark, folder, "item string, abv double, label string")
+
+
+@query("rating_line_scan", _with(_RATINGS) + "SELECT CAST(taste AS VARCHAR) AS taste, CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id FROM ratings")
+def rating_line_scan(spark, d):
+    """Plain lines, each file with a header, first three fields as text."""
+    folder = shared_folder(spark, "lines")
+    RT.ratings(spark, d).select("taste", "user_id", "item_id", "appdata").write.option("header", True).csv(folder)
+    lines = spark.read.text(folder).withColumn("value", F.regexp_replace("value", ",appdata$", ""))
+    plain = shared_folder(spark, "plain")
+    lines.write.text(plain)
+    return readers.rating_lines(spark, plain)
+
+
+@query("bound_query", _with(_RATINGS) + "SELECT item, count(*) AS n FROM ratings WHERE taste >= 7.5 GROUP BY item")
+def bound_query(spark, d):
+    """SQL over named frames with a bound value."""
+    return readers.query(spark, "SELECT item, count(*) AS n FROM {rated} WHERE taste >= :low GROUP BY item", {"low": 7.5}, rated=RT.rated(spark, d))
+
+
+@query("sorted_table", _with(_RATINGS) + "SELECT user_name, item, taste FROM ratings")
+def sorted_table(spark, d):
+    folder = shared_folder(spark, "sorted")
+    writers.create_table(RT.rated(spark, d).select("user_name", "item", "taste"), folder, ("user_name", "item"))
+    return readers.table(spark, folder)
+
+
+@query("appended_rows", _with(_RATINGS) + "SELECT user_name, item, taste FROM ratings UNION ALL SELECT user_name, item, taste FROM ratings WHERE appdata = 1")
+def appended_rows(spark, d):
+    folder, rated = shared_folder(spark, "rows"), materialize(RT.rated(spark, d))
+    writers.create_table(rated.select("user_name", "item", "taste"), folder)
+    writers.append_rows(rated.where("appdata = 1").select("user_name", "item", "taste"), folder)
+    return readers.table(spark, folder)
+
+
+@query("keyed_insert", _with(_DOCS) + "SELECT review_id, taste FROM docs")
+def keyed_insert(spark, d):
+    """Reviews inserted by key in two overlapping batches: what is stored stays, a repeated batch adds nothing."""
+    folder, raw = shared_folder(spark, "keyed"), RT.reviews(spark, d).select("review_id", "taste", *RT.REVIEW_ORDER[:3])
+    order = [F.col(c) for c in RT.REVIEW_ORDER]
+    middle = F.lit(NEW_RATINGS_FROM).cast("timestamp_ntz")
+    for batch in (raw.where(F.col("review_ts") < middle), raw, raw.where(F.col("review_ts") < middle)):
+        writers.insert_new(batch, folder, "review_id", order)
+    return readers.table(spark, folder, ["review_id", "taste"])
+
+
+@query("stored_scores", _with(_SCORED) + "SELECT user_id, item_id, round(prediction, 6) AS prediction FROM scored WHERE user_id = 7")
+def stored_scores(spark, d):
+    """Scores in user buckets, one user looked up."""
+    docs = RT.store(spark, d)
+    users, items = R.dimensions(docs)
+    scores = R.with_ids(RT.scored(RT.labelled(docs)), users, items).select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
+    folder = shared_folder(spark, "scores")
+    writers.store_predictions(scores, folder)
+    return readers.user_predictions(spark, folder, 7).select("user_id", "item_id", "prediction")
+
+
+# --------------------------------------------------------------------------- functions
+
+
+@query(
+    "scored_pairs",
+    _with(_SCORED)
+    + """SELECT user_id, item_id, taste, round(prediction, 6) AS prediction, round(abs(prediction - taste), 6) AS error
+    FROM labelled JOIN (SELECT user_id, item_id, prediction FROM scored) USING (user_id, item_id)""",
+)
+def scored_pairs(spark, d):
+    """Truth beside prediction on user and item, with the absolute error."""
+    docs = RT.store(spark, d)
+    users, items = R.dimensions(docs)
+    scores = materialize(R.with_ids(RT.scored(RT.labelled(docs)), users, items))
+    truth = scores.select("user_id", "item_id", F.col("actual").alias("taste"))
+    both = EV.score_pairs(truth, scores.select("user_id", "item_id", "prediction"))
+    found = EV.absolute_errors(both.withColumn("actual", F.col("taste"))).drop("actual")
+    return found.withColumns({c: F.round(c, 6) for c in ("prediction", "error")})
+
+
+@query(
+    "scalar_functions",
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size + 0.5 AS DOUBLE) END AS leading,
+    contains(concat(p_type, CASE WHEN p_size % 2 = 0 THEN ' 50%' ELSE '' END), '%') AS has_percent,
+    printf('%.1f', floor((p_size + 0.25) * 10 + 0.5) / 10) AS one_digit, least(p_partkey, p_size * 40) AS low, greatest(p_partkey, p_size * 40) AS high FROM part""",
+)
+def scalar_functions(spark, d):
+    part = RT.load(spark, d, "part")
+    low, high = S.ordered_pair("p_partkey", F.col("p_size").cast("long") * 40)
+    text = F.when(F.col("p_partkey") % 3 == 0, F.lit("none/5")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".5/5")))
+    marked = F.concat("p_type", F.when(F.col("p_size") % 2 == 0, F.lit(" 50%")).otherwise(""))
+    return part.select(
+        "p_partkey", S.leading_number(text).alias("leading"), S.has_percent(marked).alias("has_percent"),
+        S.one_decimal(F.col("p_size") + 0.25).alias("one_digit"), low.alias("low"), high.alias("high"),
+    )
+
+
+@query(
+    "grids",
+    _with(_SCORED) + "SELECT k AS point_no, round(CAST(0.05 + 0.0375 * k AS DOUBLE), 8) AS linear, round(pow(10.0, -4 + k), 8) AS logarithmic, (SELECT count(*) FROM scored) AS n FROM range(5) AS r(k)",
+)
+def grids(spark, d):
+    """Parameter grids beside the number of rows that they would be tried on."""
+    points = list(enumerate(zip(S.linear_grid(0.05, 0.2, 5), S.log_grid(-4, 0, 5))))
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in points], "point_no long, linear double, logarithmic double")
+    n = _scored(spark, d).count()
+    return table.select("point_no", F.round("linear", 8).alias("linear"), F.round("logarithmic", 8).alias("logarithmic"), F.lit(n).cast("long").alias("n"))
+
+
+@query(
+    "unicode_tokens",
+    r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\pL\pM\p{Nd}\p{Pc}]{2,}')) AS n FROM documents""",
+)
+def unicode_tokens(spark, d):
+    """Number of tokens under the library's default pattern."""
+    return RT.load(spark, d, "documents").select("doc_id", F.size(T.tokens("text")).cast("long").alias("n"))
+
+
+@query("links_containing", _with(_LINKS) + "SELECT page_id, position, href FROM links WHERE contains(href, 'th')")
+def links_containing(spark, d):
+    return pages.keep_links(page_links(spark, d), containing="th")
+
+
+@query(
+    "style_one_hot",
+    _with(_SIDE) + "SELECT item, style AS value, CAST(1 AS INTEGER) AS flag FROM raw_side WHERE style IS NOT NULL",
+)
+def style_one_hot(spark, d):
+    """One-hot flags in long form, for any number of values."""
+    return features.one_hot_flags(I.raw_side_data(RT.reviews(spark, d)), "item", "style")
+
+
+# --------------------------------------------------------------------------- models
+#
+# Values of a fitted model have no SQL form; beside each value query stands one whose rows SQL can check.
+
+_SPLIT_SQL = """,
+labelled AS (
+  SELECT *, CASE WHEN CAST('0x' || substr(md5(review_id), 1, 8) AS BIGINT) % 10000 < 2000
+                 THEN 'test' ELSE 'train' END AS split FROM ratings),
+trained_users AS (SELECT DISTINCT user_id FROM labelled WHERE split = 'train'),
+trained_items AS (SELECT DISTINCT item_id FROM labelled WHERE split = 'train'),
+scorable AS (SELECT user_id, item_id FROM labelled
+             WHERE split = 'test' AND user_id IN (FROM trained_users) AND item_id IN (FROM trained_items))"""
+_SIDE_TERMS = ("style", "maker", "abv", "calories")
+# The strongest published penalty: these ratings are noise, which weakly penalised factors would fit on a small table.
+_FACTOR_PENALTY = search.PENALTIES[0]
 
 
 def _typed(spark, d) -> DataFrame:
@@ -903,17 +1125,65 @@ def _split_typed(spark, d) -> tuple[DataFrame, DataFrame]:
     return split.train_and_test(materialize(labelled))
 
 
+def _split_with_side(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    users, items = R.dimensions(docs)
+    side = I.item_side_data(docs, items).select("item_id", *_SIDE_TERMS)
+    pairs = R.with_ids(R.rated_reviews(docs), users, items)
+    labelled = split.hash_split(pairs, ["review_id"]).select("user_id", "item_id", "taste", "split")
+    return split.train_and_test(materialize(labelled.join(side, "item_id")))
+
+
 @query("als_top20")
 def als_top20(spark, d):
     return RC.retrain_and_rank(RT.ratings(spark, d))
 
 
+@query(
+    "als_top20_check",
+    _with(_RATINGS)
+    + """SELECT user_id, least(20, (SELECT count(*) FROM (SELECT item_id FROM ratings GROUP BY item_id HAVING count(*) >= 10))) AS n,
+    true AS gapless, true AS falling, true AS allowed_only FROM (SELECT DISTINCT user_id FROM ratings)""",
+)
+def als_top20_check(spark, d):
+    """Of each user's list: its length, ranks 1 to n, falling scores, and allowed items only."""
+    rated = materialize(RT.ratings(spark, d))
+    allowed = RC.allow_list(rated)
+    best = materialize(recommend.recommend_top_k(models.fit_final_model(R.typed_ratings(rated)), None, 20, allowed))
+    marked = best.join(allowed.withColumn("listed", F.lit(True)), "item_id", "left")
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", "prediction")))  # at most 20 rows of a user
+    lists = marked.groupBy("user_id").agg(by_rank.alias("l"), F.count("*").alias("n"), F.count("listed").alias("m"))
+    scores = F.transform("l", lambda x: x["prediction"])
+    return lists.select(
+        "user_id",
+        "n",
+        (F.transform("l", lambda x: x["rank"]) == F.sequence(F.lit(1), F.col("n").cast("int"))).alias("gapless"),
+        (scores == F.sort_array(scores, asc=False)).alias("falling"),
+        (F.col("n") == F.col("m")).alias("allowed_only"),
+    )
+
+
 @query("als_predictions")
 def als_predictions(spark, d):
     train, test = _split_typed(spark, d)
     return models.predict_pairs(models.fit_final_model(train), test)
 
 
+@query("als_prediction_pairs", _with(_RATINGS + _SPLIT_SQL) + "SELECT user_id, item_id, true AS finite FROM scorable")
+def als_prediction_pairs(spark, d):
+    """The pairs that are scored under cold start, and whether each score is a number."""
+    found = als_predictions(spark, d)
+    return found.select("user_id", "item_id", (F.abs("prediction") < float("inf")).alias("finite"))
+
+
+@query("als_user_optimality", _with(_RATINGS) + "SELECT DISTINCT user_id, true AS optimal FROM ratings")
+def als_user_optimality(spark, d):
+    """Whether the last half-step solved each user's non-negative ridge problem against the final item factors."""
+    typed = materialize(_typed(spark, d))
+    model = models.fit_final_model(typed)
+    return models.user_optimality(model, typed, models.FINAL_REG)
+
+
 @query("catalogue_scores")
 def catalogue_scores(spark, d):
     """The whole catalogue scored for one user, as kept for later look-ups."""
@@ -922,34 +1192,154 @@ def catalogue_scores(spark, d):
     return recommend.score_catalogue(model, R.item_id_pairs(rated), [0])
 
 
+@query(
+    "catalogue_score_pairs",
+    _with(_RATINGS)
+    + """SELECT u.user_id, i.item_id, true AS scored FROM (SELECT DISTINCT item_id FROM ratings) i,
+    (SELECT DISTINCT user_id FROM ratings WHERE user_id IN (0, 3)) u""",
+)
+def catalogue_score_pairs(spark, d):
+    """Whole-catalogue scores of two users, written to the shared folder and looked up there."""
+    rated = materialize(RT.ratings(spark, d))
+    model = models.fit_final_model(R.typed_ratings(rated))
+    folder = shared_folder(spark, "catalogue")
+    RC.store_catalogue(model, R.item_id_pairs(rated), [0, 3], folder)
+    both = readers.user_predictions(spark, folder, 0).unionByName(readers.user_predictions(spark, folder, 3))
+    return both.select("user_id", "item_id", F.col("prediction").isNotNull().alias("scored"))
+
+
 @query("als_latent_rank")
 def als_latent_rank(spark, d):
-    model = models.fit_final_model(_typed(spark, d))
-    return recommend.latent_ranks(model.itemFactors, model.rank, key="id")
+    rated = materialize(RT.ratings(spark, d))
+    model = models.fit_final_model(R.typed_ratings(rated))
+    ranks = recommend.latent_ranks(model.itemFactors, model.rank, key="id").withColumnRenamed("id", "item_id")
+    return relational.attach_names(ranks, R.item_id_pairs(rated), "item_id")
+
+
+@query(
+    "als_latent_rank_check",
+    _with(_RATINGS)
+    + """, n AS (SELECT count(DISTINCT item_id) AS n FROM ratings)
+    SELECT 'l' || k || '_rank' AS factor, n AS items, n AS ranks, CAST(1 AS INTEGER) AS first, CAST(n AS INTEGER) AS last
+    FROM n, range(1, 7) AS r(k)""",
+)
+def als_latent_rank_check(spark, d):
+    names = [f"l{k}_rank" for k in range(1, 7)]
+    long = als_latent_rank(spark, d).unpivot(["item", "item_id"], names, "factor", "place")
+    return long.groupBy("factor").agg(
+        F.count("*").alias("items"), F.countDistinct("place").alias("ranks"), F.min("place").alias("first"), F.max("place").alias("last")
+    )
 
 
 @query("als_sweep")
 def als_sweep(spark, d):
     train, test = _split_typed(spark, d)
-    return search.sweep(train, test, ranks=(4, 6), regs=(0.05, 0.2), iterations=5, parallelism=4)
+    return search.sweep(train, test, parallelism=4)
+
+
+@query(
+    "als_sweep_check",
+    _with(_RATINGS + _SPLIT_SQL)
+    + "SELECT point_no, rank, round(reg, 6) AS reg, (SELECT count(*) FROM scorable) AS n, true AS in_range FROM (VALUES "
+    + ", ".join(
+        f"({i}::INTEGER, {rank}::INTEGER, {reg}::DOUBLE)"
+        for i, (rank, reg) in enumerate((k, r) for k in search.GRID_RANKS for r in search.GRID_REGS)
+    )
+    + ") AS p(point_no, rank, reg)",
+)
+def als_sweep_check(spark, d):
+    """Grid points, scored test rows, and whether both rates lie where they can."""
+    found = als_sweep(spark, d)
+    ok = F.col("class_rate").between(0, 1) & F.col("rmse").between(0, 10)
+    return found.select("point_no", "rank", F.round("reg", 6).alias("reg"), "n", ok.alias("in_range"))
 
 
 @query("factorization_predictions")
 def factorization_predictions(spark, d):
     train, test = _split_typed(spark, d)
-    return models.fit_factorization(train, iterations=10).predict(test)
+    return models.fit_factorization(train, reg=_FACTOR_PENALTY).predict(test)
+
+
+_ABOVE_MEAN = """, m AS (SELECT avg(taste) AS m FROM labelled WHERE split = 'train')
+SELECT count(*) AS n, true AS near_the_mean FROM scorable"""
+
+
+def _against_the_mean(train: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Scored rows, and whether their RMSE is at most 1.1 times that of predicting the training mean."""
+    mean = train.agg(F.avg("taste")).scalar()
+    actual = F.col("taste").cast("double")
+    errors = predicted.agg(
+        F.count("*").alias("n"),
+        EV.root_mean_square(actual - F.col("prediction")).alias("model"),
+        EV.root_mean_square(actual - mean).alias("mean"),
+    )
+    return errors.select("n", (F.col("model") <= 1.1 * F.col("mean")).alias("near_the_mean"))
+
+
+@query("factorization_check", _with(_RATINGS + _SPLIT_SQL + _ABOVE_MEAN))
+def factorization_check(spark, d):
+    train, test = _split_typed(spark, d)
+    return _against_the_mean(train, models.fit_factorization(train, reg=_FACTOR_PENALTY).predict(test))
 
 
 @query("side_factorization_predictions")
 def side_factorization_predictions(spark, d):
-    docs = RT.store(spark, d, *_SIDE_COLUMNS)
-    users, items = R.dimensions(docs)
-    side = I.item_side_data(docs, items).select("item_id", "style", "maker", "abv", "calories")
-    pairs = R.with_ids(R.rated_reviews(docs), users, items)
-    labelled = split.hash_split(pairs, ["review_id"]).select("user_id", "item_id", "taste", "split")
-    train, test = split.train_and_test(materialize(labelled.join(side, "item_id")))
-    model = models.fit_side_factorization(train, ["style", "maker", "abv", "calories"], num_features=1 << 16)
-    return model.transform(test).select("user_id", "item_id", "taste", "prediction")
+    train, test = _split_with_side(spark, d)
+    model = models.fit_factorization(train, num_factors=12, reg=_FACTOR_PENALTY, iterations=15, side_columns=_SIDE_TERMS)
+    return model.predict(test).select("user_id", "item_id", "taste", "prediction")
+
+
+@query("side_factorization_check", _with(_RATINGS + _SPLIT_SQL + _ABOVE_MEAN))
+def side_factorization_check(spark, d):
+    train, test = _split_with_side(spark, d)
+    model = models.fit_factorization(train, num_factors=12, reg=_FACTOR_PENALTY, iterations=15, side_columns=_SIDE_TERMS)
+    return _against_the_mean(train, model.predict(test))
+
+
+_TERMS_SQL = (
+    _SIDE
+    + _SPLIT_SQL
+    + """,
+base AS (SELECT user_id, labelled.item_id, taste AS y, style, maker, abv, calories FROM labelled JOIN side USING (item_id) WHERE split = 'train'),
+c AS (SELECT avg(y) AS m, count(*) * 2e-5 AS s FROM base),
+r1 AS (SELECT *, y - (SELECT m FROM c) AS r FROM base),
+t1 AS (SELECT style, sum(r) / (count(*) + (SELECT s FROM c)) AS t FROM r1 GROUP BY style),
+r2 AS (SELECT r1.* EXCLUDE (r), r - t AS r FROM r1 JOIN t1 USING (style)),
+t2 AS (SELECT maker, sum(r) / (count(*) + (SELECT s FROM c)) AS t FROM r2 GROUP BY maker),
+r3 AS (SELECT r2.* EXCLUDE (r), r - t AS r FROM r2 JOIN t2 USING (maker)),
+z3 AS (SELECT avg(abv) AS mu, stddev_pop(abv) AS sd FROM base),
+t3 AS (SELECT sum(r * (abv - mu) / sd) / (sum(((abv - mu) / sd) ** 2) + (SELECT s FROM c)) AS t FROM r3, z3),
+r4 AS (SELECT r3.* EXCLUDE (r), r - t * (abv - mu) / sd AS r FROM r3, t3, z3),
+z4 AS (SELECT avg(calories) AS mu, stddev_pop(calories) AS sd FROM base),
+t4 AS (SELECT sum(r * (calories - mu) / sd) / (sum(((calories - mu) / sd) ** 2) + (SELECT s FROM c)) AS t FROM r4, z4),
+r5 AS (SELECT r4.* EXCLUDE (r), r - t * (calories - mu) / sd AS r FROM r4, t4, z4),
+i1 AS (SELECT item_id, sum(r) / (count(*) + (SELECT s FROM c)) AS t FROM r5 GROUP BY item_id),
+u1 AS (SELECT user_id, sum(r - t) / (count(*) + (SELECT s FROM c)) AS t FROM r5 JOIN i1 USING (item_id) GROUP BY user_id),
+i2 AS (SELECT item_id, sum(r - t) / (count(*) + (SELECT s FROM c)) AS t FROM r5 JOIN u1 USING (user_id) GROUP BY item_id),
+u2 AS (SELECT user_id, sum(r - t) / (count(*) + (SELECT s FROM c)) AS t FROM r5 JOIN i2 USING (item_id) GROUP BY user_id)"""
+)
+
+
+@query(
+    "factorization_terms",
+    _with(_TERMS_SQL)
+    + """SELECT kind, key, round(t, 5) AS term FROM (
+      SELECT 'mean' AS kind, '' AS key, m AS t FROM c
+      UNION ALL SELECT 'style', style, t FROM t1 UNION ALL SELECT 'maker', maker, t FROM t2
+      UNION ALL SELECT 'abv', '', t FROM t3 UNION ALL SELECT 'calories', '', t FROM t4
+      UNION ALL SELECT 'item', CAST(item_id AS VARCHAR), t FROM i2 UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), t FROM u2)""",
+)
+def factorization_terms(spark, d):
+    """All terms of the linear part: mean, side columns, items and users."""
+    train, _ = _split_with_side(spark, d)
+    model = models.fit_linear_terms(train, side_columns=_SIDE_TERMS)
+    one = [("mean", "", model.mean)] + [(t.column, "", t.slope) for t in model.side_terms if isinstance(t, models.NumberTerm)]
+    terms = spark.createDataFrame(one, "kind string, key string, term double")
+    tables = [(t.column, t.table.select(F.col(t.column).alias("key"), "term")) for t in model.side_terms if isinstance(t, models.ValueTerm)]
+    tables += [(n, t.select(F.col(f"{n}_id").cast("string").alias("key"), F.col(f"{n}_term").alias("term"))) for n, t in (("item", model.item_terms), ("user", model.user_terms))]
+    for kind, found in tables:
+        terms = terms.unionByName(found.withColumn("kind", F.lit(kind)))
+    return terms.withColumn("term", F.round("term", 5))
 
 
 @query("implicit_top20")
@@ -959,20 +1349,64 @@ def implicit_top20(spark, d):
     return recommend.recommend_top_k(model, None, 20, RC.allow_list(rated))
 
 
+@query(
+    "implicit_top20_check",
+    _with(_RATINGS)
+    + """SELECT user_id, least(20, (SELECT count(*) FROM (SELECT item_id FROM ratings GROUP BY item_id HAVING count(*) >= 10))) AS n,
+    CAST(1 AS INTEGER) AS first FROM (SELECT DISTINCT user_id FROM ratings)""",
+)
+def implicit_top20_check(spark, d):
+    return implicit_top20(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+
+
+_SEARCHES = {
+    "random_search": dict(nmf=[True, False]),
+    "wide_random_search": dict(reg=search.WIDE_PENALTIES, lin_reg=search.WIDE_PENALTIES),
+}
+
+
 @query("random_search")
 def random_search(spark, d):
+    """The first published search: both kinds of model, 50 iterations, 5 models."""
     train, test = _split_typed(spark, d)
-    return search.random_search(
-        train, test, nmf=[True, False], max_iterations=[5], num_factors=[8, 12], num_models=3, parallelism=3
+    return search.random_search(train, test, parallelism=4, **_SEARCHES["random_search"])
+
+
+@query("wide_random_search")
+def wide_random_search(spark, d):
+    """The second published search: the wide list of penalties, 20 models."""
+    train, test = _split_typed(spark, d)
+    return search.random_search(train, test, num_models=20, parallelism=4, **_SEARCHES["wide_random_search"])
+
+
+def _search_sql(name: str, num_models: int) -> str:
+    given = dict(reg=search.PENALTIES, lin_reg=search.PENALTIES, nmf=(False,), max_iterations=(50,), num_factors=(8, 12, 16),
+                 side_data_factorization=(False,)) | _SEARCHES[name]
+    rows = search.draw_parameters(given, num_models)
+    values = ", ".join(
+        f"({r['reg']}::DOUBLE, {'NULL' if r['nmf'] else r['lin_reg']}::DOUBLE, {str(r['nmf']).lower()}, {r['max_iterations']}::INTEGER, "
+        f"{r['num_factors']}::INTEGER, {str(r['side_data_factorization']).lower()}, true)"
+        for r in rows
     )
+    return f"SELECT * FROM (VALUES {values}) AS s(reg, lin_reg, nmf, max_iterations, num_factors, side_data_factorization, in_range)"
+
+
+def _search_check(found: DataFrame) -> DataFrame:
+    rates = [F.col(f"{p}_class_rate").between(0, 1) & F.col(f"{q}_rmse").isNotNull() for p, q in (("train", "training"), ("test", "test"))]
+    return found.select("reg", "lin_reg", "nmf", "max_iterations", "num_factors", "side_data_factorization", (rates[0] & rates[1]).alias("in_range"))
+
+
+@query("random_search_check", _search_sql("random_search", 5))
+def random_search_check(spark, d):
+    return _search_check(random_search(spark, d))
 
 
 # --------------------------------------------------------------------------- contract
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship: retrain on all ratings and rank the 20 best items of every user."""
-    return als_top20(spark, "/root/testdata/sf0.001")
+    """Flagship: retrain on all ratings and rank the 20 best items of every user. `RATELENS_DATA` names another folder."""
+    return als_top20(spark, os.environ.get("RATELENS_DATA", "/root/testdata/sf0.001"))
 
 
 def _corpus_queries() -> tuple[dict[str, Query], dict[str, str]]:

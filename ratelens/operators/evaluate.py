@@ -53,10 +53,15 @@ def class_rate(scored: DataFrame, rule: str = "biased", by: list[str] | None = N
 
 
 def error_rows(scored: DataFrame) -> DataFrame:
-    """(act, error) rows in order of the actual value; error is prediction minus actual."""
-    return scored.select(F.col("actual").alias("act"), (F.col("prediction") - F.col("actual")).alias("error")).orderBy(
-        "act"
+    """(act, error) rows in order of the actual value; error is prediction minus actual.
+
+    Rows of one actual value are ordered by error, then by a hash of the row: a sort by the few actual values
+    alone could not spread over more tasks than there are values.
+    """
+    errors = scored.withColumn("_mark", F.xxhash64(*scored.columns)).select(
+        F.col("actual").alias("act"), (F.col("prediction") - F.col("actual")).alias("error"), "_mark"
     )
+    return errors.orderBy("act", "error", "_mark").drop("_mark")
 
 
 def absolute_errors(scored: DataFrame) -> DataFrame:

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from ratelens.functions.scalars import ascii_only
 
-# Most columns a one-hot table may have; more values go into a sparse vector.
-MAX_ONE_HOT_COLUMNS = 1000
-
-
 def clean_ascii(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: ascii_only(c) for c in columns})
 
@@ -22,23 +18,32 @@ def with_text_features(items: DataFrame, item_terms: DataFrame, key: str = "item
     return items.join(item_terms, key, "inner")
 
 
-def one_hot_values(df: DataFrame, column: str, limit: int = MAX_ONE_HOT_COLUMNS) -> list[str]:
-    """Sorted distinct values; refuses a column with too many of them."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; use one_hot_vectors")
-    return [r[0] for r in rows]
+def one_hot_flags(df: DataFrame, key: str, column: str) -> DataFrame:
+    """Long form (key, value, flag = 1), one row for each value that a row has: any number of values, no driver list."""
+    return df.where(F.col(column).isNotNull()).select(key, F.col(column).alias("value"), F.lit(1).alias("flag"))
+
+
+def flag_names(values: list[str], prefix: str | None = None) -> list[str]:
+    """ASCII column names of the values; a name that an earlier value has taken gets a number."""
+    head, taken, names = "" if prefix is None else f"{prefix}_", set(), []
+    for value in values:
+        plain = name = head + value.encode("ascii", "ignore").decode()
+        again = 1
+        while name.lower() in taken:
+            again += 1
+            name = f"{plain}_{again}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
 
+def one_hot_columns(df: DataFrame, column: str, values: list[str], prefix: str | None = None) -> DataFrame:
+    """Replace a column by 0/1 columns `prefix_value`, one for each of `values`, without a shuffle.
 
-def one_hot_columns(
-    df: DataFrame, column: str, prefix: str | None = None, values: list[str] | None = None
-) -> DataFrame:
-    """Replace a column by 0/1 columns `prefix_value`, one per value, without a shuffle."""
-    values = one_hot_values(df, column) if values is None else values
-    head = "" if prefix is None else f"{prefix}_"
+    For a column with many values use `one_hot_flags` or `one_hot_vectors`.
+    """
     flags = {
-        head + v.encode("ascii", "ignore").decode(): F.coalesce((F.col(column) == v).cast("int"), F.lit(0))
-        for v in values
+        name: F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for name, v in zip(flag_names(values, prefix), values)
     }
     return df.withColumns(flags).drop(column)
 

@@ -35,11 +35,14 @@ def split_by_user(
     df: DataFrame,
     user: str = "user_name",
     item: str = "item",
-    max_users: int = 4000,
+    max_users: int | None = None,
     test_share: float = 0.2,
     seed: str = "",
 ) -> DataFrame:
-    """Add `split`: a share of the items of at most `max_users` sampled users is 'test'."""
+    """Add `split`: a share of the items of every user, or of `max_users` sampled users if given, is 'test'."""
+    if max_users is None:
+        test = in_share(user, item, share=test_share, seed=seed)
+        return df.withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train")))
     chosen = (
         df.select(user)
         .distinct()

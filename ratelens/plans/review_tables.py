@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratelens.functions.scalars import MISSING
 from ratelens.operators.relational import first_per_key
 from ratelens.operators.split import hash_split
-from ratelens.plans.ratings import item_user_pairs, rated_reviews
+from ratelens.plans.ratings import dimensions, item_user_pairs, rated_reviews
 from ratelens.session import materialize, spread
 
 # A review's place in time; with the rating it is total up to identical rows.
@@ -84,9 +84,13 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stored_reviews(spark: SparkSession, folder: str) -> DataFrame:
+def first_reviews(found: DataFrame) -> DataFrame:
     """The first review per key, as the document store keeps it."""
-    return first_per_key(reviews(spark, folder), ["review_id"], [F.col(c) for c in REVIEW_ORDER])
+    return first_per_key(found, ["review_id"], [F.col(c) for c in REVIEW_ORDER])
+
+
+def stored_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return first_reviews(reviews(spark, folder))
 
 
 def store(spark: SparkSession, folder: str, *more: str) -> DataFrame:
@@ -104,8 +108,13 @@ def rated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """Rating table with ids and the application flag."""
-    return item_user_pairs(store(spark, folder), keep=("appdata",))
+    """Rating table with ids and the application flag.
+
+    Ids need names only, and the names are the same before and after de-duplication: they come from a pruned pass
+    over the reviews, and the de-duplicated reviews are not written.
+    """
+    users, items = dimensions(reviews(spark, folder))
+    return item_user_pairs(stored_reviews(spark, folder), users=users, items=items, keep=("appdata",))
 
 
 def item_mean_predictions(train: DataFrame, pairs: DataFrame) -> DataFrame:

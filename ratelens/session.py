@@ -37,6 +37,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which driver and executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and read it from there on.
 
@@ -47,7 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
     that feeds the join directly.
     """
     spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -51,18 +51,40 @@ def test_unknown_ids_get_no_prediction(spark, model):
 
 
 def test_factorization_beats_the_mean(parts):
-    fitted = models.fit_factorization(parts[0], num_factors=4, reg=0.01, lin_reg=1e-5, iterations=10)
+    fitted = models.fit_factorization(parts[0], num_factors=4, reg=1e-4, lin_reg=1e-5, iterations=10)
     predicted = fitted.predict(parts[1])
     assert _rmse(predicted) < 0.5 * _baseline(parts)
     assert "user_term" not in predicted.columns
 
 
-def test_side_factorization_runs(parts):
-    train, test = (p.withColumn("style", (F.col("item_id") % 3).cast("string")) for p in parts)
-    fitted = models.fit_side_factorization(train, ["style"], num_factors=4, iterations=40, num_features=1 << 10)
-    predicted = fitted.transform(test)
-    assert _rmse(predicted) < 0.8 * _baseline(parts)
-    assert set(predicted.columns) == {*test.columns, "prediction"}
+def test_side_terms_beat_the_mean(spark):
+    source = np.random.default_rng(8)
+    side = {i: (float(source.uniform(100, 2000)), "abc"[i % 3]) for i in range(50)}
+    seen = [
+        (u, i, 5 + 0.002 * side[i][0] + {"a": 0.0, "b": 1.5, "c": -1.5}[side[i][1]] + float(source.normal(0, 0.3)), *side[i])
+        for u in range(60) for i in range(50) if source.random() < 0.4
+    ]
+    table = spark.createDataFrame(seen, "user_id int, item_id int, taste double, calories double, style string")
+    split_up = train_and_test(hash_split(table, ["user_id", "item_id"]))
+    fitted = models.fit_factorization(split_up[0], num_factors=2, reg=1e-3, iterations=5, side_columns=("calories", "style"))
+    predicted = fitted.predict(split_up[1])
+    assert _rmse(predicted) < 0.4 * _baseline(split_up)
+    assert set(predicted.columns) == set(split_up[1].columns) | {"prediction"}
+    # An unseen value and a missing number count as the mean; the item itself must be known.
+    odd = split_up[1].limit(1).withColumns({"style": F.lit("new"), "calories": F.lit(None).cast("double")})
+    assert fitted.predict(odd).first()["prediction"] is not None
+    assert {t.column for t in fitted.side_terms} == {"calories", "style"}
+
+
+def test_strong_penalty_leaves_the_mean(parts):
+    fitted = models.fit_factorization(parts[0], num_factors=3, reg=10.0, lin_reg=100.0, iterations=3)
+    assert _rmse(fitted.predict(parts[1])) == pytest.approx(_baseline(parts), rel=0.02)
+
+
+def test_user_optimality(parts, model):
+    found = models.user_optimality(model, parts[0], 0.01).toPandas()
+    assert found["optimal"].all() and len(found) == parts[0].select("user_id").distinct().count()
+    assert not models.user_optimality(model, parts[0], 3.0).toPandas()["optimal"].any()
 
 
 def test_ranking_model(parts):
@@ -254,4 +276,4 @@ def test_random_search_with_side_data(parts):
     got = search.random_search(
         train, test, max_iterations=[2], num_factors=[2], side_data_factorization=[True], side_columns=["style"], num_models=1
     ).first()
-    assert got["side_data_factorization"] and got["lin_reg"] is None and got["test_rmse"] is not None
+    assert got["side_data_factorization"] and got["lin_reg"] is not None and got["test_rmse"] is not None

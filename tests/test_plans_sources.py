@@ -168,6 +168,36 @@ def test_append_stream(spark, batch, catalogue, tmp_path):
     assert spark.read.parquet(rejected).count() == 6
 
 
+def test_append_stream_that_loses_its_progress_adds_nothing(spark, batch, catalogue, tmp_path):
+    table, rejected, incoming = (str(tmp_path / n) for n in ("table", "rejected", "incoming"))
+    spark.createDataFrame(STORED, STORED_SCHEMA).write.parquet(table)
+    batch.write.parquet(incoming)
+    seen = []
+    for turn in range(2):  # another folder for the progress: batch 0 is run twice
+        arriving = spark.readStream.schema(BATCH_SCHEMA).parquet(incoming)
+        append_stream(arriving, table, rejected, catalogue, [F.col("at")], str(tmp_path / f"progress{turn}")).awaitTermination()
+        seen.append((rows(spark.read.option("mergeSchema", True).parquet(table)), rows(spark.read.parquet(rejected))))
+    assert seen[0] == seen[1]
+
+
+def test_error_rows_spread_over_tasks(spark):
+    from ratelens.operators import evaluate
+
+    scored = spark.range(20_000).selectExpr("cast(id % 3 as double) AS actual", "id / 7.0 AS prediction").repartition(4)
+    found = evaluate.error_rows(scored.withColumn("prediction", F.col("prediction").cast("double")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [len(p) for p in found.rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(n > 0 for n in sizes) >= 4 and found.columns == ["act", "error"]
+
+
+def test_table_sink_sorts_if_asked(spark, tmp_path):
+    writers.create_table(spark.createDataFrame([(2, "b"), (1, "z"), (2, "a")], "u int, i string"), str(tmp_path / "t"), ("u", "i"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).orderBy("u", "i").collect()] == [(1, "z"), (2, "a"), (2, "b")]
+
+
 def test_table_sink_refuses_to_overwrite(spark, tmp_path):
     df, path = spark.range(3), str(tmp_path / "t")
     writers.create_table(df, path)

@@ -102,11 +102,26 @@ def test_review_texts_to_tokens(reviews):
 
 def test_one_hot_columns(spark):
     df = spark.createDataFrame([(1, "Bräu"), (2, "Zed"), (3, None)], "id int, maker string")
-    wide = features.one_hot_columns(df, "maker", "maker")
+    wide = features.one_hot_columns(df, "maker", ["Bräu", "Zed"], "maker")
     assert wide.columns == ["id", "maker_Bru", "maker_Zed"]
     assert rows(wide) == [(1, 1, 0), (2, 0, 1), (3, 0, 0)]
-    with pytest.raises(ValueError):
-        features.one_hot_values(df, "maker", limit=1)
+    assert rows(features.one_hot_flags(df, "id", "maker")) == [(1, "Bräu", 1), (2, "Zed", 1)]
+
+
+def test_one_hot_names_that_collide_stay_apart(spark):
+    df = spark.createDataFrame([(1, "Bräu"), (2, "Bru"), (3, "é"), (4, None), (5, "BRU")], "id int, maker string")
+    wide = features.one_hot_columns(df, "maker", ["BRU", "Bru", "Bräu", "é"], "maker")
+    assert len(set(c.lower() for c in wide.columns)) == 5
+    assert rows(wide) == [(1, 0, 0, 1, 0), (2, 0, 1, 0, 0), (3, 0, 0, 0, 1), (4, 0, 0, 0, 0), (5, 1, 0, 0, 0)]
+
+
+def test_anchors_and_placed_fields(spark):
+    html = '<a class="x" href="/i/1"> <b>Pale</b> Ale</a><p>one</p><a href="/i/2">Stout</a><p>two</p><a name="n">no</a><p>three</p>'
+    df = spark.createDataFrame([(1, html), (2, "<p>only</p>"), (3, None)], "page_id int, html string")
+    assert rows(pages.anchors(df)) == [(1, 0, "/i/1", "Pale Ale"), (1, 1, "/i/2", "Stout")]
+    wanted = {"first": "<p>(.*?)</p>", "second": "<p>(.*?)</p>", "last": "<p>(.*?)</p>"}
+    found = pages.page_fields(df, wanted, places={"second": 2, "last": -1})
+    assert rows(found) == [(1, "one", "two", "three"), (2, "only", None, "only"), (3, None, None, None)]
 
 
 def test_one_hot_vectors(spark):
