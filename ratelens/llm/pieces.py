@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ratelens.llm.common import fresh, replaced, text_or_empty
 
 BLANK = "▁"
 #: Segments and pairs of pieces that a task remembers; when full, the memory starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -144,7 +145,8 @@ def ids_column(text: Column, model: str = "piece_bpe_32k.model") -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces.load(model)
         for series in batches:
-            yield pd.Series([None if t is None else pieces.encode(t) for t in series], dtype=object)
+            # Arrays, as a batch of lists of Python numbers would take many times their size.
+            yield pd.Series([None if t is None else np.array(pieces.encode(t), np.int32) for t in series], dtype=object)
 
     return encode(text)
 
