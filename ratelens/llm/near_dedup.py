@@ -9,8 +9,8 @@ with all weights one, for which that similarity is the plain Jaccard similarity
 
 Texts whose sketches agree in all registers of a band meet in a bucket. A link is two different texts of a bucket
 whose plain Jaccard similarity, worked out from their shingles, is at least the threshold. Classes are the
-connected components of links and equal texts. In a crowded bucket, a text most of whose shingles nobody else has is left
-out first, as it can have no link. Then all are compared with up to three hubs, members that share the most bands, and
+connected components of links and equal texts. A text too many of whose shingles no other candidate has is left out
+first, as it can have no link. Then all are compared with up to three hubs, members that share the most bands, and
 only members that lie in another component than the main hub are compared with the rest: only where the
 triangle inequality of the Jaccard distance, and the shingles they share with anyone, leave a link possible. So a
 group of thousands of near copies costs a few comparisons each, and no link of a bucket is lost.
@@ -33,8 +33,6 @@ THRESHOLD = 0.8
 #: 24 bands of 6 registers: two texts of similarity 0.8 meet with probability 0.9993, of 0.5 with 0.31.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
-#: In buckets of more texts, those that share too few shingles with any other are left out first.
-CROWD = 32
 #: Words sketched at a time.
 BLOCK_WORDS = 400_000
 
@@ -249,11 +247,9 @@ def shingle_column(words: Column) -> Column:
     return distinct(words)
 
 
-def _crowded(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, size, shared): for texts of buckets above CROWD their number of shingles, and of those that another such text has too."""
-    crowd = members.where(F.col("n") > CROWD).select("a", "b").distinct()
-    held = texts.join(crowd, ["a", "b"]).select("a", "b", shingle_column(word_hashes(F.col("text"))).alias("s"))
-    held = materialize(held)
+def _shared_shingles(texts: DataFrame) -> DataFrame:
+    """(a, b, size, shared): the number of a text's shingles, and of those that another of the texts has too."""
+    held = materialize(texts.select("a", "b", shingle_column(word_hashes(F.col("text"))).alias("s")))
     single = held.select("a", "b", F.explode("s").alias("shingle")).groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b")
     )
@@ -303,10 +299,9 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     texts = materialize(keyed.groupBy("a", "b").agg(F.first("text").alias("text")).join(wanted.hint("merge"), ["a", "b"]))
     drop_materialized(sketched)
     reach = 1 - threshold + 1e-12
-    # A text of a crowded bucket shares too little with all others there if too many of its shingles are its own.
-    known = _crowded(members, texts)
-    sized = members.join(known, ["a", "b"], "left").withColumn("size", F.when(F.col("n") > CROWD, F.col("size")))
-    members = materialize(sized.where(F.col("size").isNull() | (F.col("shared") >= threshold * F.col("size"))))
+    # A text too many of whose shingles are its own has no link.
+    known = _shared_shingles(texts).where(F.col("shared") >= (threshold - 1e-9) * F.col("size"))
+    members = materialize(members.join(known, ["a", "b"]))
     to_hub, main = _hub_pairs(members)
     checked = materialize(_verified(materialize(to_hub), texts))
     found = checked.where(F.col("distance") <= reach)
@@ -332,8 +327,7 @@ def _possible_pairs(placed: DataFrame, reach: float) -> DataFrame:
     """Pairs of a bucket in different components that may still be linked.
 
     One of the two lies outside the main hub's component. Their distances to the main hub must differ by `reach` at most
-    (triangle inequality; the distances are cut into steps of `reach`, so that only neighbouring steps meet), and
-    where the shingles that they share with others are known, those must suffice for the similarity.
+    (triangle inequality; the distances are cut into steps of `reach`, so that only neighbouring steps meet), and the shingles that they share with anyone must suffice for the similarity.
     """
     step = F.floor(F.col("distance") / reach).cast("int")
     columns = ("a", "b", "ra", "rb", "size", "shared", "distance", "outside")
@@ -344,7 +338,7 @@ def _possible_pairs(placed: DataFrame, reach: float) -> DataFrame:
     once = ~F.col("youtside") | (F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("xb") < F.col("yb")))
     near = F.abs(F.col("xdistance") - F.col("ydistance")) <= reach + 1e-9
     common = F.least("xshared", "yshared")
-    enough = F.coalesce(common >= (1 - reach - 1e-9) * (F.col("xsize") + F.col("ysize") - common), F.lit(True))
+    enough = common >= (1 - reach - 1e-9) * (F.col("xsize") + F.col("ysize") - common)
     pairs = x.join(y, ["bucket", "step"]).where(apart & once & near & enough)
     return _ordered(pairs.select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y")))
 
