@@ -163,6 +163,20 @@ def text_column(ids: Column, model: str = "piece_bpe_32k.model") -> Column:
     return decode(ids)
 
 
+def _both_ways(text: Column, model: str) -> Column:
+    """Ids and the text they give back, in one worker a task: two would hold the automaton and their batches twice."""
+
+    @F.pandas_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pieces = Pieces.load(model)
+        for series in batches:
+            ids = [np.array(pieces.encode(t), np.int32) for t in series]
+            decoded = [pieces.decode(i) for i in ids]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+    return both(text)
+
+
 def with_pieces(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """All rows and columns plus `ids`, their number `n_ids`, and `decoded`, the text that the ids give back.
 
@@ -170,6 +184,7 @@ def with_pieces(docs: DataFrame, text: str = "text", model: str = "piece_bpe_32k
     to the character unless it holds the blank sign U+2581 itself, which comes back as a blank. Each row is
     worked on alone, whole texts of any length in time proportional to it; an empty table gives an empty one.
     """
-    (held,) = fresh(docs, "held_ids")
-    coded = docs.withColumn(held, ids_column(text_or_empty(text), model))
-    return replaced(coded, ids=F.col(held), n_ids=F.size(held), decoded=text_column(F.col(held), model)).drop(held)
+    (held,) = fresh(docs, "held_pieces")
+    coded = docs.withColumn(held, _both_ways(text_or_empty(text), model))
+    ids = F.col(held)["ids"]
+    return replaced(coded, ids=ids, n_ids=F.size(ids), decoded=F.col(held)["decoded"]).drop(held)
