@@ -92,6 +92,18 @@ def test_ranking_model(parts):
     assert recommend.recommend_top_k(fitted, k=3).groupBy("user_id").count().where("count <> 3").count() == 0
 
 
+def test_tied_scores_stay_small():
+    import tracemalloc
+
+    users, items = np.zeros((3000, 6), "float32"), np.random.default_rng(1).random((20_000, 6)).astype("float32")
+    tracemalloc.start()
+    best = recommend._best_of(np.arange(3000), users, np.arange(20_000)[::-1].copy(), items, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(best) == 60_000 and best.groupby("user_id")["item_id"].agg(sorted).map(lambda x: x == list(range(20))).all()
+    assert peak < 400 << 20
+
+
 def _brute_force(model, k, allowed=None):
     users = {r["id"]: np.array(r["features"], "float32") for r in model.userFactors.collect()}
     items = {r["id"]: np.array(r["features"], "float32") for r in model.itemFactors.collect()}
