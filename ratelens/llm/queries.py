@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, pieces, sharding, topk, url_filter
+from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, periods, pieces, sharding, topk, url_filter
 from ratelens.llm.common import remainder_of_id, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,23 @@ def op7_sentencepiece(spark, d):
     coded = pieces.with_pieces(table(spark, d, "documents").select("doc_id", "text"))
     same = F.col("decoded") == text_or_empty("text")
     return coded.select("doc_id", "ids", "n_ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), same.alias("round_trip"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, d):
+    docs = periods.with_tail_repeated(table(spark, d, "documents").select("doc_id", "text"))
+    found = periods.with_runs(docs)
+    best = periods.by_exponent(F.col("runs"))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    told = found.select("doc_id", "runs", F.sha2(lines, 256).alias("runs_sha256"), F.sha2(text_or_empty("collapsed"), 256).alias("collapsed_sha256"), best.alias("best"))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )

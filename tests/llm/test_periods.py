@@ -1,0 +1,107 @@
+import hashlib
+import random
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from frames import clashing, frame, odd_rows, row, sentence
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from ratelens.llm import periods, queries
+
+
+def plain_runs(words, least_words=24, least_periods=3):
+    """All maximal stretches, found period by period."""
+    n, found = len(words), {}
+    for q in range(1, n // least_periods + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least_words, least_periods * q):
+                found.setdefault((i, j + q - i), q)  # the smallest period of a stretch comes first
+            i = max(j, i) + 1
+    return sorted((start, length, q) for (start, length), q in found.items())
+
+
+def plain_row(key, text):
+    words = [] if text is None else text.encode().split()
+    n, h = len(words), zlib.crc32(str("" if key is None else key).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = plain_runs(words)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    listed = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+    kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    one = (None,) * 4 if best is None else (*best, 1000 * best[1] // best[2])
+    return (key, len(runs), *one, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+def texts(seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for key in range(150):
+        root = sentence(rng, n=rng.randrange(1, 30)) + " "
+        inner = "x y " * rng.randrange(20) + "x " * rng.randrange(40)
+        rows.append(row(key, sentence(rng, n=rng.randrange(40)) + "\n" + root * rng.randrange(6) + inner + root * rng.randrange(5) + sentence(rng, n=9)))
+    rows += [row(200 + i, " ".join(rng.choice("ab") for _ in range(120))) for i in range(60)]
+    rows += [row(300, "a " * 1000), row(301, ("a b " * 6 + "c ") * 12), row(302, "    " * 20), row(303, "\x1c \x85 " * 20)]
+    return rows
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=70), min_size=1, max_size=5), st.integers(3, 5))
+def test_runs_of_several_texts_equal_the_plain_search(split, least_periods):
+    sizes = np.array([len(w) for w in split])
+    got = periods.find_runs([w for words in split for w in words], sizes, 4, least_periods)
+    begin = np.cumsum(sizes) - sizes
+    expected = [(s + b, length, q) for b, words in zip(begin, split) for s, length, q in plain_runs(words, 4, least_periods)]
+    assert [tuple(r) for r in got.tolist()] == expected
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    rows = texts() + [r for r in odd_rows() if r[0] != 7]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op13_periodic_runs"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    expected = sorted((plain_row(r[0], r[1]) for r in rows), key=repr)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == expected
+    assert sum(r[1] for r in expected) > 100 and max(r[1] for r in expected) > 3
+
+
+def test_query_over_the_given_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    short = {r["doc_id"]: r["text"] for r in docs if len(r["text"] or "") < 20_000}  # the plain search is quadratic
+    got = {r["doc_id"]: tuple(r) for r in queries.queries()["op13_periodic_runs"](spark, folder).collect()}
+    assert len(got) == len(docs) and len(short) > 150
+    assert {k: got[k] for k in short} == {k: plain_row(k, t) for k, t in short.items()}
+
+
+def test_operator_on_odd_rows_clashes_and_a_very_long_text(spark):
+    rows = odd_rows() + [row(400, "one two " * 200_000)]
+    docs = clashing(frame(spark, rows)).withColumn("collapsed", F.lit("old")).withColumn("Runs", F.lit(1)).withColumn("c0", F.lit(2))
+    got = periods.with_runs(docs)
+    assert got.columns == [c for c in docs.columns if c.lower() not in ("runs", "collapsed")] + ["n_words", "runs", "collapsed"]
+    found = {(r["doc_id"], r["text"]): r for r in got.collect()}
+    assert len(got.collect()) == len(rows)
+    for key, text, *_ in rows:
+        assert found[key, text]["collapsed"] == (None if text is None else "one two" if key == 400 else " ".join(text.split()))
+    assert [tuple(r) for r in found[400, rows[-1][1]]["runs"]] == [(0, 400_000, 2)]
+
+
+def test_empty_table_and_parameters(spark):
+    docs = frame(spark, texts()[:3])
+    assert periods.with_runs(docs.where(F.lit(False))).count() == 0
+    short = periods.with_runs(frame(spark, [row(1, "k l k l k l m")]), least_words=4).first()
+    assert [tuple(r) for r in short["runs"]] == [(0, 6, 2)] and short["collapsed"] == "k l m"
+    with pytest.raises(ValueError):
+        periods.with_runs(docs, least_periods=2)
