@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, periods, pieces, resampling, sharding, topk, url_filter
+from ratelens.llm import fingerprints, langid, line_dedup, lm, near_dedup, packing, periods, pieces, resampling, sharding, substring_dedup, topk, url_filter
 from ratelens.llm.common import remainder_of_id, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,12 @@ def op7_sentencepiece(spark, d):
     return coded.select("doc_id", "ids", "n_ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), same.alias("round_trip"))
 
 
+@query("op11_substring_dedup")
+def op11_substring_dedup(spark, d):
+    cleaned = substring_dedup.remove_repeated_windows(table(spark, d, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(text_or_empty("kept"), 256).alias("kept_sha256"))
+
+
 @query("op12_importance_resampling")
 def op12_importance_resampling(spark, d):
     drawn = resampling.resample(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("text"))
