@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelens.functions import scalars as S
 from ratelens.functions import text as T
 from ratelens.operators import evaluate as EV
-from ratelens.operators import explore, features, models, pages, recommend, relational, search, similarity, split
+from ratelens.operators import explore, factorization, features, models, pages, recommend, relational, search, similarity, split
 from ratelens.operators import text as TX
 from ratelens.plans import items as I
 from ratelens.plans import ratings as R
@@ -1112,8 +1112,6 @@ trained_items AS (SELECT DISTINCT item_id FROM labelled WHERE split = 'train'),
 scorable AS (SELECT user_id, item_id FROM labelled
              WHERE split = 'test' AND user_id IN (FROM trained_users) AND item_id IN (FROM trained_items))"""
 _SIDE_TERMS = ("style", "maker", "abv", "calories")
-# The strongest published penalty: these ratings are noise, which weakly penalised factors would fit on a small table.
-_FACTOR_PENALTY = search.PENALTIES[0]
 
 
 def _typed(spark, d) -> DataFrame:
@@ -1256,44 +1254,138 @@ def als_sweep_check(spark, d):
 
 @query("factorization_predictions")
 def factorization_predictions(spark, d):
+    """The published model: 5 factors, no side data."""
     train, test = _split_typed(spark, d)
-    return models.fit_factorization(train, reg=_FACTOR_PENALTY).predict(test)
+    return factorization.fit_joint_factorization(train).predict(test)
 
 
-_ABOVE_MEAN = """, m AS (SELECT avg(taste) AS m FROM labelled WHERE split = 'train')
-SELECT count(*) AS n, true AS near_the_mean FROM scorable"""
+def _planted(rated: DataFrame, liking: Column) -> DataFrame:
+    """The pairs of the rating table with ratings that a model has to find: users of two kinds rate the items of two kinds 3 above or below."""
+    user = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
+    item = F.when(liking, 1).otherwise(-1)
+    return rated.withColumn("taste", 6.0 + (F.col("user_id") % 5 - 2) / 2 + 3.0 * user * item)
 
 
-def _against_the_mean(train: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Scored rows, and whether their RMSE is at most 1.1 times that of predicting the training mean."""
+def _planted_with_side(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Planted ratings whose two kinds of items are those of odd and even makers, in two parts, and the items' side data.
+
+    A tenth of the items has no rating in the first part.
+    """
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    users, items = R.dimensions(docs)
+    side = materialize(I.item_side_data(docs, items).select("item_id", *_SIDE_TERMS))
+    pairs = R.with_ids(R.rated_reviews(docs), users, items)
+    odd = F.substring("maker", -1, 1).cast("int") % 2 == 1
+    rated = _planted(split.hash_split(pairs, ["review_id"]).join(side.select("item_id", "maker"), "item_id"), odd)
+    train, test = split.train_and_test(materialize(rated.select("user_id", "item_id", "taste", "split")))
+    return train.where("item_id % 10 <> 0"), test, side
+
+
+def _errors(train: DataFrame, predicted: DataFrame, linear: DataFrame) -> DataFrame:
+    """Scored rows, and whether the model's RMSE is under 0.7 times that of the training mean and of its own linear part."""
     mean = train.agg(F.avg("taste")).scalar()
-    actual = F.col("taste").cast("double")
-    errors = predicted.agg(
-        F.count("*").alias("n"),
-        EV.root_mean_square(actual - F.col("prediction")).alias("model"),
-        EV.root_mean_square(actual - mean).alias("mean"),
-    )
-    return errors.select("n", (F.col("model") <= 1.1 * F.col("mean")).alias("near_the_mean"))
+    both = predicted.join(linear.select("user_id", "item_id", "linear"), ["user_id", "item_id"])
+    rms = {n: EV.root_mean_square(F.col("taste") - c) for n, c in (("model", F.col("prediction")), ("linear", F.col("linear")), ("mean", F.lit(mean)))}
+    found = both.agg(F.count("*").alias("n"), *[c.alias(n) for n, c in rms.items()])
+    return found.select("n", *[(F.col("model") < 0.7 * F.col(n)).alias(f"better_than_{n}") for n in ("mean", "linear")])
 
 
-@query("factorization_check", _with(_RATINGS + _SPLIT_SQL + _ABOVE_MEAN))
+@query(
+    "factorization_check",
+    _with(_RATINGS + _SPLIT_SQL) + "SELECT count(*) AS n, true AS better_than_mean, true AS better_than_linear FROM scorable",
+)
 def factorization_check(spark, d):
-    train, test = _split_typed(spark, d)
-    return _against_the_mean(train, models.fit_factorization(train, reg=_FACTOR_PENALTY).predict(test))
+    """The published model against planted ratings that no sum of terms explains."""
+    train, test = (_planted(part, F.col("item_id") % 2 == 0) for part in _split_typed(spark, d))
+    model = factorization.fit_joint_factorization(train)
+    return _errors(train, model.predict(test), model.linear(test, "linear"))
+
+
+_SIDE_MODEL = dict(num_factors=12, reg=1e-4, lin_reg=1e-5, iterations=15)
 
 
 @query("side_factorization_predictions")
 def side_factorization_predictions(spark, d):
-    train, test = _split_with_side(spark, d)
-    model = models.fit_factorization(train, num_factors=12, reg=_FACTOR_PENALTY, iterations=15, side_columns=_SIDE_TERMS)
-    return model.predict(test).select("user_id", "item_id", "taste", "prediction")
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    users, items = R.dimensions(docs)
+    side = materialize(I.item_side_data(docs, items).select("item_id", *_SIDE_TERMS))
+    pairs = R.with_ids(R.rated_reviews(docs), users, items)
+    labelled = split.hash_split(pairs, ["review_id"]).select("user_id", "item_id", "taste", "split")
+    train, test = split.train_and_test(materialize(labelled))
+    return factorization.fit_joint_factorization(train, side, _SIDE_TERMS, **_SIDE_MODEL).predict(test)
+
 
+_COLD_SQL = """,
+warm_users AS (SELECT DISTINCT user_id FROM labelled WHERE split = 'train' AND item_id % 10 <> 0)"""
 
-@query("side_factorization_check", _with(_RATINGS + _SPLIT_SQL + _ABOVE_MEAN))
+
+@query(
+    "side_factorization_check",
+    _with(_RATINGS + _SPLIT_SQL + _COLD_SQL)
+    + """SELECT item_id % 10 = 0 AS cold, count(*) AS n, true AS better_than_mean, true AS better_than_linear
+    FROM labelled WHERE split = 'test' AND user_id IN (FROM warm_users) GROUP BY 1""",
+)
 def side_factorization_check(spark, d):
-    train, test = _split_with_side(spark, d)
-    model = models.fit_factorization(train, num_factors=12, reg=_FACTOR_PENALTY, iterations=15, side_columns=_SIDE_TERMS)
-    return _against_the_mean(train, model.predict(test))
+    """Factors on side values against planted ratings, for items with training ratings and for items known by their side values alone."""
+    train, test, side = _planted_with_side(spark, d)
+    model = factorization.fit_joint_factorization(train, side, ("maker", "abv"), **_SIDE_MODEL)
+    predicted, linear = materialize(model.predict(test)), materialize(model.linear(test, "linear"))
+    parts = [(cold, F.col("item_id") % 10 == 0 if cold else F.col("item_id") % 10 != 0) for cold in (True, False)]
+    found = [_errors(train, predicted.where(at), linear.where(at)).select(F.lit(cold).alias("cold"), "*") for cold, at in parts]
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "factorization_block_check",
+    _with(_SIDE + _SPLIT_SQL)
+    + """, train AS (SELECT user_id, item_id FROM labelled WHERE split = 'train' AND item_id % 10 <> 0)
+    SELECT 'user_id' AS block, count(DISTINCT user_id) AS keys, true AS still FROM train
+    UNION ALL SELECT 'item_id', count(DISTINCT item_id), true FROM train
+    UNION ALL SELECT 'maker', count(DISTINCT maker), true FROM side WHERE item_id IN (SELECT item_id FROM train)
+    UNION ALL SELECT 'abv', 1, true""",
+)
+def factorization_block_check(spark, d):
+    """Whether the loss stands still in the terms and factors of every block at the end of the fit."""
+    train, _, side = _planted_with_side(spark, d)
+    model = factorization.fit_joint_factorization(train, side, ("maker", "abv"), num_factors=2, reg=1e-4, lin_reg=1e-5, iterations=20, tolerance=1e-5)
+    return factorization.block_slopes(model).select("block", "keys", (F.col("slope") < 0.05).alias("still"))
+
+
+@query("ranking_factorization_predictions")
+def ranking_factorization_predictions(spark, d):
+    """The published ranking model: 12 factors, 15 iterations, side values with factors of their own, unseen items held low."""
+    docs = RT.store(spark, d, *_SIDE_COLUMNS)
+    users, items = R.dimensions(docs)
+    side = materialize(I.item_side_data(docs, items).select("item_id", *_SIDE_TERMS))
+    rated = R.typed_ratings(R.with_ids(R.rated_reviews(docs), users, items))
+    train, valid = split.train_and_test(materialize(split.split_by_user(rated, "user_id", "item_id", max_users=4000)))
+    return factorization.fit_ranking_factorization(train, side, _SIDE_TERMS).predict(valid)
+
+
+@query(
+    "ranking_factorization_check",
+    _with(_SIDE + _SPLIT_SQL)
+    + """SELECT count(*) AS held_out, true AS finds_liked_items, true AS clearly_better FROM labelled JOIN side USING (item_id)
+    WHERE split = 'test' AND (user_id % 2 = 0) = (CAST(right(maker, 1) AS INTEGER) % 2 = 1)""",
+)
+def ranking_factorization_check(spark, d):
+    """Users rate what they like alone: held-out items of theirs against one item each that they have not rated.
+
+    Half of those items are liked too, so 3 of 4 cases is the best that a model can do. The model with side data must come near to that, for items
+    without training ratings too, where it must be clearly better than the ranking model without side data.
+    """
+    train, test, side = _planted_with_side(spark, d)
+    liked = F.col("taste") > 6.0 + (F.col("user_id") % 5 - 2) / 2
+    train, held_out = materialize(train.where(liked)), materialize(test.where(liked).select("user_id", "item_id"))
+    plain = models.fit_ranking_model(train)
+    fitted = (factorization.fit_ranking_factorization(train, side, ("maker", "abv")).predict, lambda pairs: models.predict_pairs(plain, pairs))
+    parts = (held_out, held_out.where("item_id % 10 = 0"))
+    shares = [[factorization.pairwise_accuracy(predict, part, train).first()["share"] for part in parts] for predict in fitted]
+    return held_out.agg(F.count("*").alias("held_out")).select(
+        "held_out",
+        F.lit(shares[0][0] > 0.68 and shares[0][1] > 0.55).alias("finds_liked_items"),
+        F.lit(shares[0][0] > shares[1][0] and shares[0][1] > shares[1][1] + 0.1).alias("clearly_better"),
+    )
 
 
 _TERMS_SQL = (
