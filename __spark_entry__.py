@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import scalars as S
 from ratelens.functions import text as T
 from ratelens.operators import evaluate as EV
-from ratelens.operators import explore, factorization, features, models, pages, recommend, relational, search, similarity, split
+from ratelens.operators import explore, factorization, features, fold_in, models, pages, recommend, relational, search, similarity, split
 from ratelens.operators import text as TX
 from ratelens.plans import items as I
 from ratelens.plans import ratings as R
@@ -1182,6 +1182,63 @@ def als_user_optimality(spark, d):
     return models.user_optimality(model, typed, models.FINAL_REG)
 
 
+@query("fold_in_check", _with(_RATINGS) + "SELECT DISTINCT user_id, true AS same FROM ratings")
+def fold_in_check(spark, d):
+    """All users folded into the fitted model: the factors that the fit's own last half-step gave them."""
+    typed = materialize(_typed(spark, d))
+    model = models.fit_final_model(typed)
+    folded = fold_in.fold_in_users(model, typed, models.FINAL_REG)
+    both = folded.userFactors.join(model.userFactors.withColumnRenamed("features", "fitted"), "id")
+    far = F.array_max(F.zip_with("features", "fitted", lambda x, y: F.abs(x - y)))
+    return both.select(F.col("id").alias("user_id"), (far <= 1e-3 * (1 + F.array_max("fitted"))).alias("same"))
+
+
+_NEW_SQL = f""",
+dated AS (SELECT r.user_id, r.item_id, r.user_name, d.review_ts >= TIMESTAMP '{NEW_RATINGS_FROM}' AS fresh FROM ratings r JOIN docs d USING (review_id)),
+known_items AS (SELECT DISTINCT item_id FROM dated WHERE NOT fresh),
+touched AS (SELECT DISTINCT user_id FROM dated WHERE fresh)"""
+
+
+def _refreshed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rating table, its older part as numbers and its newer part."""
+    docs = RT.store(spark, d, "review_ts")
+    users, items = R.dimensions(docs)
+    rated = materialize(R.with_ids(R.rated_reviews(docs, keep=("review_ts",)), users, items))
+    fresh = F.col("review_ts") >= F.lit(NEW_RATINGS_FROM).cast("timestamp_ntz")
+    return rated, materialize(R.typed_ratings(rated.where(~fresh))), rated.where(fresh)
+
+
+@query(
+    "fold_in_optimality",
+    _with(_RATINGS + _NEW_SQL)
+    + "SELECT DISTINCT user_id, true AS optimal FROM dated WHERE user_id IN (FROM touched) AND item_id IN (FROM known_items)",
+)
+def fold_in_optimality(spark, d):
+    """A model of the older ratings, then the newer ones: whether each touched user's factors solve the problem of all the user's ratings."""
+    rated, old, new = _refreshed(spark, d)
+    model = models.fit_final_model(old)
+    typed, touched = R.typed_ratings(rated), materialize(new.select("user_id").distinct())
+    folded = fold_in.fold_in_users(model, typed, models.FINAL_REG, touched)
+    found = models.user_optimality(folded, typed.join(touched, "user_id"), models.FINAL_REG)
+    return found
+
+
+@query(
+    "refreshed_top20",
+    _with(_RATINGS + _NEW_SQL)
+    + """, allowed AS (SELECT item_id FROM ratings GROUP BY item_id HAVING count(*) >= 10),
+    held AS (SELECT DISTINCT user_name FROM dated WHERE user_id IN (FROM touched) AND item_id IN (FROM known_items)
+             UNION SELECT user_name FROM dated WHERE user_id IN (FROM touched) AND NOT fresh)
+    SELECT user_name, least(20, (SELECT count(*) FROM allowed WHERE item_id IN (FROM known_items))) AS n, true AS gapless FROM held""",
+)
+def refreshed_top20(spark, d):
+    """The lists of the users with newer ratings, from a model of the older ones."""
+    rated, old, new = _refreshed(spark, d)
+    best = RC.refresh_and_rank(models.fit_final_model(old), rated, new.select("user_id"))
+    lists = best.groupBy("user_name").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"))
+    return lists.select("user_name", "n", ((F.col("last") == F.col("n")) & (F.col("ranks") == F.col("n"))).alias("gapless"))
+
+
 @query("catalogue_scores")
 def catalogue_scores(spark, d):
     """The whole catalogue scored for one user, as kept for later look-ups."""
