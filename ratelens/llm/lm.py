@@ -252,6 +252,8 @@ def train(docs: DataFrame, model: Model, text: str = "text", rounds: int = ROUND
                     learner.learn(flat, first)
             for kind, rows in enumerate((learner.model.class_rows, learner.model.word_rows)):
                 at = np.flatnonzero(learner.touched[kind])
+                if not len(at):  # a task without a row in this round
+                    continue
                 weights = (rows[at] * learner.touched[kind][at, None]).astype(np.float32)
                 yield pd.DataFrame({"kind": np.int32(kind), "at": at.astype(np.int32), "n": learner.touched[kind][at], "w": list(weights)})
 

@@ -213,6 +213,23 @@ def _encoding(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def _plain_tokenizer(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(public_tokenizers.path(f"{name}.json")))
+
+
+def _token_ids(text: str, vocabulary: str) -> list[int]:
+    """The ids of a text. Runs of very many blanks are more than the pattern matching of tiktoken can go back over, which it says
+    by a ValueError; such a text is left to the tokenizers library whole."""
+    try:
+        return _encoding(vocabulary).encode(text, allowed_special="all")
+    except ValueError:
+        return _plain_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def token_pieces(
     docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k", width: int = 4
 ) -> DataFrame:
@@ -224,11 +241,10 @@ def token_pieces(
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(vocabulary)
         for frame in frames:
             out: dict[str, list] = {"id": [], "piece": [], "start": [], "length": [], "ids": []}
             for key, words in zip(frame["id"], frame["text"]):
-                ids = np.array([*encode.encode(words, allowed_special="all"), END_ID], f"<u{width}")
+                ids = np.array([*_token_ids(words, vocabulary), END_ID], f"<u{width}")
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):

@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 SCALE = 1024
 #: Vectors in an index block and queries that meet it at a time.
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 4_096
+#: Components of a block, so that wide vectors come in smaller blocks.
+BLOCK_CELLS = 1 << 22
 #: Segments of a dimension at most; the quantisation step is a power of two.
 SEGMENTS = 16
 #: Segments between two looks at the bound, and possible members at which a search goes over to exact scores.
 LOOK_EVERY, FEW = 64, 128
-_COUNT_BITS = 12
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -73,15 +74,15 @@ class ImpactIndex:
         weight = query[self.dimension_of]
         impact = np.maximum(weight * self.low_of, weight * self.high_of)
         order = np.argsort(-impact, kind="stable")
-        # Accumulator and number of dimensions met, in one number.
-        met = np.zeros(n, np.int64)
+        total, met = np.zeros(n, np.int64), np.zeros(n, np.int64)  # impacts so far, and of how many dimensions
         reached: np.ndarray | None = None
         for look in range(0, len(order), LOOK_EVERY):
             for s in order[look : look + LOOK_EVERY]:
-                met[self.members[s]] += (impact[s] << _COUNT_BITS) + 1
+                total[self.members[s]] += impact[s]
+                met[self.members[s]] += 1
             after = look + LOOK_EVERY
             left = impact[order[after]] if after < len(order) else 0
-            bound = (met >> _COUNT_BITS) + (dims - (met & ((1 << _COUNT_BITS) - 1))) * left
+            bound = total + (dims - met) * left
             bound[own] = np.iinfo(np.int64).min
             top = np.argpartition(-bound, min(k, n - 1))[: k + 1] if n > k else np.arange(n)
             top = top[~own[top]]
@@ -113,6 +114,19 @@ def _search_group(keys, vectors: pd.DataFrame, queries: pd.DataFrame, k: int) ->
     return pd.DataFrame(found)
 
 
+def _blocks(table: DataFrame, rows: int) -> int:
+    """Number of blocks of at most `rows` vectors and about BLOCK_CELLS components each.
+
+    An error where an inner product of two vectors as large as the largest here would not fit into a long.
+    """
+    size, largest = F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    found = table.agg(F.count("*").alias("n"), size.alias("size"), largest.alias("largest")).first()
+    width = max(1, found["size"] or 0)
+    if width * (found["largest"] or 0.0) ** 2 >= 2.0**62:
+        raise ValueError("the scaled components are too large for exact sums in 64 bits: choose a smaller scale")
+    return max(1, math.ceil(found["n"] / max(1, min(rows, BLOCK_CELLS // width))))
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", scale: int = SCALE
 ) -> DataFrame:
@@ -122,14 +136,14 @@ def top_k(
     rows but those with its id; with fewer than k, all are returned. Ties go to the smaller id; rows that repeat
     an id are candidates (and queries) once each. Vectors or ids that are null, or vectors with null or non-finite
     components, take no part; vectors of different length are filled up with zeros. Empty tables give an empty one.
+    Any number of dimensions is allowed; scaled components whose sums of products could leave 63 bits are an error.
 
     Every block of queries meets every block of vectors once. A block's best k are ranked together afterwards.
     """
     ready = lambda df: df.where(F.col(id).isNotNull() & usable(F.col(vector)))
     held = ready(vectors).select(F.col(id).cast("long").alias("vec_id"), scaled(F.col(vector), scale).alias("v"))
     asked = ready(queries).select(F.col(id).cast("long").alias("query_id"), scaled(F.col(vector), scale).alias("v"))
-    blocks = max(1, math.ceil(held.count() / BLOCK_VECTORS))
-    groups = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    blocks, groups = _blocks(held, BLOCK_VECTORS), _blocks(asked, BLOCK_QUERIES)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # A hash of id and vector, so that rows repeating an id do not gather in one block.
     left = held.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("part", every(groups))

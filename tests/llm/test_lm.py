@@ -97,6 +97,11 @@ def test_empty_tables(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def test_more_tasks_than_texts(spark):
+    docs = spark.createDataFrame([(i, f"a few plain words {i}") for i in range(6)], "doc_id long, text string").repartition(32)
+    assert lm.lm_scores(docs, docs).where("score < 0").count() == 6
+
+
 def test_tokens_equal_the_definition():
     import pandas as pd
 

@@ -102,3 +102,8 @@ def test_sequences_as_ids_and_edges(spark):
     assert packing.pack(frame(spark, rows).where(F.lit(False))).count() == 0
     with pytest.raises(ValueError):
         packing.place(spark.createDataFrame([(1, 0)], "k long, length long"), "k")
+
+
+def test_very_long_runs_of_blanks_and_letters(spark):
+    rows = [row(i, c * 1_000_000) for i, c in enumerate((" ", "\n", "a"))] + [row(5, "text " + "\t" * 300_000 + "end")]
+    check(spark, frame(spark, rows), rows)

@@ -63,3 +63,23 @@ def test_a_search_stops_early_on_proof():
     ids, scores = index.search(-1, x[17], 10)
     full = np.lexsort((np.arange(5000), -(x @ x[17])))[:10]
     assert list(ids) == list(full) and max(looked) < 2500
+
+
+@pytest.mark.parametrize("dims, largest", [(5000, 1.0), (64, 2.0**15)])
+def test_wide_and_large_vectors(spark, dims, largest):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=dims) * largest]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scaled = np.floor(np.array([v for _, v in rows]) * 1024).astype(np.int64)
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("vec_id % 6 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in range(0, 60, 6):
+        scores = scaled @ scaled[q]
+        assert got[q] == [(int(i), int(scores[i])) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-scores[i], i))[:10]]
+
+
+def test_sums_beyond_64_bits_are_an_error(spark):
+    vectors = spark.createDataFrame([(i, [1e8 * 2**20, 1.0]) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(vectors, vectors)
