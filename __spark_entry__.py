@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ratelens.functions import scalars as S
 from ratelens.functions import text as T
 from ratelens.operators import evaluate as EV
-from ratelens.operators import explore, factorization, features, fold_in, models, pages, recommend, relational, search, similarity, split
+from ratelens.operators import explore, factorization, features, fold_in, models, pages, recommend, relational, search, similarity, sparse_similarity, split
 from ratelens.operators import text as TX
 from ratelens.plans import items as I
 from ratelens.plans import ratings as R
@@ -685,8 +686,8 @@ def cosine_pairs(spark, d):
 )
 def similar_item_features(spark, d):
     texts = RT.part_items(spark, d).select("p_partkey", F.concat_ws(" ", "item", "style", "maker").alias("text"))
-    table, terms = TX.term_features(texts, "p_partkey", "text", pattern=ASCII_TOKEN)
-    found = similarity.similar_items(I.vector_of(table, "p_partkey", terms), "p_partkey", "vector", 0.12)
+    frequencies = TX.term_frequency(texts, "p_partkey", "text", pattern=ASCII_TOKEN)
+    found = sparse_similarity.similar_sparse_items(frequencies, "p_partkey", "term", "tf", 0.12)
     return found.withColumn("distance", F.round("distance", 5))
 
 
@@ -1559,15 +1560,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _corpus_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    """Queries and SQL of the training-data subpackage; none where the subpackage is not installed."""
+    """Queries and SQL of the training-data subpackage; none, with a warning, where it or a module that it needs is not installed."""
     try:
-        import ratelens.llm  # noqa: F401
-    except ModuleNotFoundError as missing:
-        if missing.name != "ratelens.llm":
-            raise
+        from ratelens.llm import queries as corpus
+    except ImportError as missing:
+        warnings.warn(f"no training-data queries: {missing}", stacklevel=2)
         return {}, {}
-    from ratelens.llm import queries as corpus
-
     return corpus.queries(), corpus.oracle_sql()
 
 
