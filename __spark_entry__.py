@@ -1550,30 +1550,47 @@ def implicit_top20_check(spark, d):
 
 _SEARCHES = {
     "random_search": dict(nmf=[True, False]),
-    "wide_random_search": dict(reg=search.WIDE_PENALTIES, lin_reg=search.WIDE_PENALTIES),
+    "wide_random_search": dict(
+        reg=search.WIDE_PENALTIES, lin_reg=search.WIDE_PENALTIES, nmf=(True, False), num_factors=(8, 12), side_data_factorization=(True, False)
+    ),
+    "fine_random_search": dict(reg=search.FINE_PENALTIES, lin_reg=search.FINE_PENALTIES, nmf=(True, False)),
 }
+_MODELS = {"random_search": 5, "wide_random_search": 20, "fine_random_search": 10}
+
+
+def _searched(spark, d, name: str) -> DataFrame:
+    lists = _SEARCHES[name]
+    side = True in lists.get("side_data_factorization", ())
+    train, test = _split_with_side(spark, d) if side else _split_typed(spark, d)
+    return search.random_search(train, test, num_models=_MODELS[name], parallelism=8, side_columns=_SIDE_TERMS if side else (), **lists)
 
 
 @query("random_search")
 def random_search(spark, d):
-    """The first published search: both kinds of model, 50 iterations, 5 models."""
-    train, test = _split_typed(spark, d)
-    return search.random_search(train, test, parallelism=4, **_SEARCHES["random_search"])
+    """A search over the short list of penalties: both kinds of model, 50 iterations, 5 models."""
+    return _searched(spark, d, "random_search")
 
 
 @query("wide_random_search")
 def wide_random_search(spark, d):
-    """The second published search: the wide list of penalties, 20 models."""
-    train, test = _split_typed(spark, d)
-    return search.random_search(train, test, num_models=20, parallelism=4, **_SEARCHES["wide_random_search"])
+    """The published cluster search: six penalties, side data and non-negative factors drawn, 8 or 12 factors; 20 models."""
+    return _searched(spark, d, "wide_random_search")
+
 
+@query("fine_random_search")
+def fine_random_search(spark, d):
+    """The published serial search: 50 penalties from 1 to 1e-10, non-negative factors drawn, 8, 12 or 16 factors; 10 models."""
+    return _searched(spark, d, "fine_random_search")
 
-def _search_sql(name: str, num_models: int) -> str:
+
+def _search_sql(name: str) -> str:
     given = dict(reg=search.PENALTIES, lin_reg=search.PENALTIES, nmf=(False,), max_iterations=(50,), num_factors=(8, 12, 16),
                  side_data_factorization=(False,)) | _SEARCHES[name]
-    rows = search.draw_parameters(given, num_models)
+    rows = search.draw_parameters(given, _MODELS[name])
+    for r in rows:  # side data come without non-negative factors
+        r["nmf"] = r["nmf"] and not r["side_data_factorization"]
     values = ", ".join(
-        f"({r['reg']}::DOUBLE, {'NULL' if r['nmf'] else r['lin_reg']}::DOUBLE, {str(r['nmf']).lower()}, {r['max_iterations']}::INTEGER, "
+        f"({r['reg']!r}::DOUBLE, {'NULL' if r['nmf'] else repr(r['lin_reg'])}::DOUBLE, {str(r['nmf']).lower()}, {r['max_iterations']}::INTEGER, "
         f"{r['num_factors']}::INTEGER, {str(r['side_data_factorization']).lower()}, true)"
         for r in rows
     )
@@ -1585,11 +1602,21 @@ def _search_check(found: DataFrame) -> DataFrame:
     return found.select("reg", "lin_reg", "nmf", "max_iterations", "num_factors", "side_data_factorization", (rates[0] & rates[1]).alias("in_range"))
 
 
-@query("random_search_check", _search_sql("random_search", 5))
+@query("random_search_check", _search_sql("random_search"))
 def random_search_check(spark, d):
     return _search_check(random_search(spark, d))
 
 
+@query("wide_random_search_check", _search_sql("wide_random_search"))
+def wide_random_search_check(spark, d):
+    return _search_check(wide_random_search(spark, d))
+
+
+@query("fine_random_search_check", _search_sql("fine_random_search"))
+def fine_random_search_check(spark, d):
+    return _search_check(fine_random_search(spark, d))
+
+
 # --------------------------------------------------------------------------- contract
 
 
