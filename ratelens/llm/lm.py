@@ -1,15 +1,18 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-p(word | before) = p(class | before) p(word | class, before). Both factors are softmaxes whose logits are a bias plus
-one hashed weight row for each feature: the word before, the skip word two before and, for the class, the pair
-of both. The `MODEL_WORDS` most frequent tokens are predicted one by one; all others share one
-outcome, inside which a token has the add-one share of its count, so the model is a distribution over the
-training vocabulary and one unseen token, as the unigram base is.
+p(word | before) = p(class | before) p(next part | class, before) ... Every factor is a softmax over `WAYS` outcomes whose
+logits are the node's bias plus one hashed weight row for each feature: the word before, the skip word two before and, for
+the class, the pair of both. Classes follow the frequency: the root tells 15 classes of frequent tokens and the rare ones
+apart; a class of 16^d tokens is told apart by d more softmaxes, so each of its tokens is predicted by itself. Rare tokens
+go on by digits of their hash, down to leaves of about `TYPES_PER_LEAF` types, in which a token has the add-one share of its
+count. So the context predicts every token of the training vocabulary, and the number of softmaxes grows with the
+vocabulary's logarithm. Each leaf has an equal part of the add-one mass of unseen tokens.
 
 Training: token counts cover all training texts. The softmaxes start as the unigram model (biases from the counts)
-and are trained by distributed gradient updates: the training texts are split into rounds, in each round every
-task runs mini-batch gradient steps over its texts from the shared weights, and the weight rows are averaged over
-the tasks by how often each touched them.
+and are trained by distributed gradient updates: texts are dealt into rounds and learners by a hash of their row; in each
+round every learner runs mini-batch steps over its texts, in the order of the hash, from the shared weights, and
+the weight rows are averaged over the learners by how often each touched them. Number of learners and order of texts follow from
+the data alone, so the scores do not depend on how the table is split, nor on a task that runs twice.
 
 Counts of frequent tokens are broadcast. By the pigeonhole principle at most `HEAD` tokens can make up one part in
 `HEAD` of the corpus each, so this table is bounded at any corpus size. The other tokens of a text meet their
@@ -18,30 +21,40 @@ counts in a join, in which no key is hot.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import text_or_empty
+from ratelens.llm.common import fresh, text_or_empty
 from ratelens.session import materialize
 
 HEAD = 1 << 20
-#: Classes and words in a class; the model predicts CLASSES * WORDS - 1 tokens and the outcome "another token".
-CLASSES, WORDS = 32, 32
-#: Features, the first ones, that the words in a class have.
-WORD_FEATURES = 2
-MODEL_WORDS = CLASSES * WORDS - 1
-#: Rows of the hashed weight tables for classes and for words in a class.
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+#: Bits of a token's hash before those that name its leaf.
+LEAF_SHIFT = 20
+#: Outcomes of a softmax.
+WAYS = 16
+#: Digits below each of the root's first 15 outcomes: together they hold more than HEAD tokens, by falling frequency.
+CLASS_DEPTHS = (1,) * 8 + (2,) * 4 + (3, 4, 5)
+RARE = WAYS - 1
+#: Types in a leaf of rare tokens, about; leaves are at most WAYS ** MOST_RARE_DIGITS.
+TYPES_PER_LEAF = 1024
+MOST_RARE_DIGITS = 5
+#: Features, the first ones, of the softmaxes below the root.
+LOWER_FEATURES = 2
+#: Rows of the hashed weight table: it doubles whenever the training tokens grow fourfold beyond TOKENS_AT_LEAST.
+LEAST_ROWS, MOST_ROWS = 1 << 16, 1 << 19
+TOKENS_AT_LEAST = 1 << 27
 ROUNDS = 2
-BATCH = 2048
-RATE = 0.35
-#: Scan partitions that one learner goes through.
-SCANS_PER_LEARNER = 4
+#: Tokens that one learner goes through in a round, about.
+TOKENS_PER_LEARNER = 1 << 21
+BATCH = 1 << 15
+RATE = 0.25
+#: Tokens scored together.
 BLOCK = 1 << 12
 #: Bytes of text that a task looks at together; a longer text is looked at whole.
 BYTES_AT_ONCE = 1 << 20
@@ -74,36 +87,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _leaf_first(depth: int) -> int:
+    """Number of nodes above the digit `depth` of a tree."""
+    return (WAYS**depth - 1) // (WAYS - 1)
+
+
 @dataclass
 class Model:
-    """Vocabulary statistics and weights. `head` is sorted; `target` has the outcome of each head token (0: another token)."""
+    """Vocabulary statistics and weights. `head` is sorted; `group` and `place` say where each head token is among the classes."""
 
     head: np.ndarray
     count: np.ndarray
-    target: np.ndarray
+    group: np.ndarray
+    place: np.ndarray
     tokens: int
     types: int
-    other: float
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    class_rows: np.ndarray = field(default_factory=lambda: np.zeros((CLASS_ROWS, CLASSES), np.float32))
-    word_rows: np.ndarray = field(default_factory=lambda: np.zeros((WORD_ROWS, WORDS), np.float32))
+    leaf_log: np.ndarray
+    depths: np.ndarray
+    first_node: np.ndarray
+    bias: np.ndarray
+    rows: np.ndarray
 
     @classmethod
-    def start(cls, head: np.ndarray, count: np.ndarray, tokens: int, types: int) -> Model:
-        """The unigram model. `other`: log10 of the add-one mass of all tokens that are not predicted one by one."""
-        order = np.lexsort((head, -count))[:MODEL_WORDS]
-        target = np.zeros(len(head), np.int32)
-        target[order] = np.arange(1, len(order) + 1)
-        mass = np.zeros(CLASSES * WORDS)
-        mass[1 : len(order) + 1] = count[order] + 1
-        mass[0] = tokens + types + 1 - mass.sum()
-        grid = mass.reshape(WORDS, CLASSES).T  # outcome r belongs to class r % CLASSES
+    def start(cls, head: np.ndarray, count: np.ndarray, tokens: int, types: int, leaves: np.ndarray | None = None) -> Model:
+        """The unigram model. `leaves`: the add-one mass of the seen rare tokens of each leaf (none: one leaf, and all other types in it)."""
+        if leaves is None:
+            leaves = np.array([float(tokens - count.sum() + types - len(head))])
+        leaves = leaves + 1 / len(leaves)
+        depths = np.array([*CLASS_DEPTHS, round(math.log(len(leaves), WAYS))])
+        first_node = 1 + np.cumsum([0, *[_leaf_first(d) for d in depths[:-1]]])
+        rank = np.empty(len(head), np.int64)
+        rank[np.lexsort((head, -count))] = np.arange(len(head))
+        begins = np.cumsum([0, *[WAYS**d for d in CLASS_DEPTHS]])
+        group = np.searchsorted(begins, rank, side="right") - 1
+        place = rank - begins[group]
+        bias = np.zeros((first_node[-1] + _leaf_first(depths[-1]), WAYS))
+        for k, depth in enumerate(depths):
+            if k == RARE:
+                mass = leaves
+            else:
+                mass = np.zeros(WAYS**depth)
+                mass[place[group == k]] = count[group == k] + 1
+            for j in range(depth):
+                sums = mass.reshape(WAYS ** (j + 1), -1).sum(1)
+                bias[first_node[k] + _leaf_first(j) : first_node[k] + _leaf_first(j + 1)] = sums.reshape(-1, WAYS)
+            bias[0, k] = mass.sum()
         with np.errstate(divide="ignore", invalid="ignore"):
-            class_bias = np.log(grid.sum(1) / mass.sum())
-            word_bias = np.log(grid / grid.sum(1, keepdims=True))
-        bound = lambda x: np.nan_to_num(x, nan=-80, neginf=-80).clip(-80)  # noqa: E731  outcomes that no token has
-        return cls(head, count, target, tokens, types, float(np.log10(mass[0])), bound(class_bias).astype(np.float32), bound(word_bias).astype(np.float32))
+            bias = np.log(bias / bias.sum(1, keepdims=True))
+        bias = np.nan_to_num(bias, nan=-30, neginf=-30).clip(-30).astype(np.float32)  # outcomes that no token has
+        growth = max(0, math.ceil(math.log(max(1, tokens) / TOKENS_AT_LEAST, 4)))
+        rows = np.zeros((min(MOST_ROWS, LEAST_ROWS << growth), WAYS), np.float32)
+        return cls(head, count, group, place, tokens, types, np.log10(leaves), depths, first_node, bias, rows)
 
     def look_up(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token in the head, and whether it is there."""
@@ -112,6 +146,13 @@ class Model:
         at = np.searchsorted(self.head, flat).clip(max=len(self.head) - 1)
         return at, self.head[at] == flat
 
+    def targets(self, flat: np.ndarray, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class of each token and its place there: for rare ones the leaf."""
+        leaf = ((flat.view(np.uint64) >> np.uint64(LEAF_SHIFT)) & np.uint64(len(self.leaf_log) - 1)).astype(np.int64)
+        if not len(self.head):
+            return np.full(len(flat), RARE), leaf
+        return np.where(hit, self.group[at], RARE), np.where(hit, self.place[at], leaf)
+
     def features(self, flat: np.ndarray, hit: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Feature hashes (3 x tokens). `first`: place of each token's text in `flat`. Tokens outside the head count as one."""
         known = np.where(hit, flat.view(np.uint64), np.uint64(_TAIL))
@@ -123,62 +164,87 @@ class Model:
         one, two = _mix(back(1) + np.uint64(1)), _mix(back(2) + np.uint64(2))
         return np.stack([one, two, _mix(one * np.uint64(3) + two)])
 
-    def forward(self, hashed: np.ndarray, target: np.ndarray):
-        """Class and place of each target, the rows of both tables, and both softmaxes' logits, exponentials and sums."""
-        group, place = target % CLASSES, target // CLASSES
-        class_at = (hashed >> np.uint64(40)).astype(np.int64) % CLASS_ROWS
-        own = hashed[:WORD_FEATURES] + group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        word_at = (_mix(own) >> np.uint64(33)).astype(np.int64) % WORD_ROWS
-        out = []
-        for rows, at, bias in ((self.class_rows, class_at, self.class_bias), (self.word_rows, word_at, self.word_bias[group])):
-            logits = rows[at[0]]
-            for k in range(1, len(at)):
-                logits += rows[at[k]]
-            logits += bias
-            np.clip(logits, -80, 80, out=logits)
-            power = np.exp(logits)
-            out.append((logits, power, power @ np.ones(power.shape[1], np.float32)))
-        return group, place, class_at, word_at, *out
-
-    def log10(self, hashed: np.ndarray, target: np.ndarray) -> np.ndarray:
-        group, place, _, _, classes, words = self.forward(hashed, target)
-        at = np.arange(len(target))
-        logs = [logits[at, answer].astype(np.float64) - np.log(total.astype(np.float64)) for (logits, _, total), answer in ((classes, group), (words, place))]
-        return (logs[0] + logs[1]) / _LOG10
+    def decisions(self, hashed: np.ndarray, group: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+        """(token, node, answer, rows): first the root's decision on every token, then all those below it.
+
+        `rows` (features x decisions) are places in the weight table.
+        """
+        every = np.arange(len(group))
+        yield every, np.zeros(len(group), np.int64), group, self._rows_at(hashed, np.zeros(1, np.int64))
+        depth = self.depths[group]
+        tokens, nodes, answers = [], [], []
+        for j in range(int(depth.max()) if len(depth) else 0):
+            own = np.flatnonzero(depth > j)
+            g, shift = group[own], 4 * (depth[own] - j)
+            tokens.append(own)
+            nodes.append(self.first_node[g] + _leaf_first(j) + (place[own] >> shift))
+            answers.append((place[own] >> (shift - 4)) & (WAYS - 1))
+        if tokens:
+            token, node = np.concatenate(tokens), np.concatenate(nodes)
+            yield token, node, np.concatenate(answers), self._rows_at(hashed[:LOWER_FEATURES][:, token], node)
+
+    def _rows_at(self, hashed: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return (_mix(hashed + node.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(33)).astype(np.int64) & (len(self.rows) - 1)
+
+    def forward(self, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their exponentials and the sums of these, of each decision."""
+        logits = np.take(self.rows, rows[0], axis=0)
+        for at in rows[1:]:
+            logits += np.take(self.rows, at, axis=0)
+        logits += self.bias[0] if not node.any() else np.take(self.bias, node, axis=0)
+        np.clip(logits, -40, 40, out=logits)
+        power = np.exp(logits)
+        return logits, power, np.einsum("ij->i", power)
+
+    def log10(self, hashed: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 probability of each target: of a token of a class, or of a leaf."""
+        out = np.zeros(len(group))
+        for token, node, answer, rows in self.decisions(hashed, group, place):
+            logits, _, total = self.forward(node, rows)
+            own = logits.ravel()[np.arange(len(node)) * WAYS + answer]
+            out += np.bincount(token, own - np.log(total), minlength=len(group))
+        return out / _LOG10
 
 
 class _Learner:
-    """Mini-batch gradient steps on a copy of the shared weights; a row's rate falls with how often it was touched."""
+    """Mini-batch gradient steps on a copy of the shared weights; a weight's rate falls with the squares of its slopes so far."""
 
     def __init__(self, shared: Model):
-        self.model = Model(**{**shared.__dict__, "class_rows": shared.class_rows.copy(), "word_rows": shared.word_rows.copy()})
-        self.touched = [np.zeros(CLASS_ROWS), np.zeros(WORD_ROWS)]
+        self.model = replace(shared, rows=shared.rows.copy())
+        self.touched = np.zeros(len(shared.rows), np.int64)
+        self.squares = np.zeros((WAYS, len(shared.rows)), np.float32)
 
     def learn(self, flat: np.ndarray, first: np.ndarray) -> None:
         at, hit = self.model.look_up(flat)
-        target = np.where(hit, self.model.target[at] if len(self.model.head) else 0, 0)
+        group, place = self.model.targets(flat, at, hit)
         hashed = self.model.features(flat, hit, first)
         for a in range(0, len(flat), BATCH):
-            self._step(hashed[:, a : a + BATCH], target[a : a + BATCH])
-
-    def _step(self, hashed: np.ndarray, target: np.ndarray) -> None:
-        group, place, class_at, word_at, classes, words = self.model.forward(hashed, target)
-        n = np.arange(len(target))
-        for rows, touched, at, (_, power, total), answer in (
-            (self.model.class_rows, self.touched[0], class_at, classes, group),
-            (self.model.word_rows, self.touched[1], word_at, words, place),
-        ):
-            slope = power.T * (-1 / total)  # of the log likelihood, by logit
-            slope[answer, n] += 1
-            flat = at.ravel()
-            order = np.argsort(flat)
-            in_order = flat[order]
-            begin = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
-            row = in_order[begin]
-            gathered = np.take(slope, order % len(target), axis=1)
-            sums = np.add.reduceat(gathered, begin, axis=1).T
-            touched[row] += np.diff(np.r_[begin, len(flat)])
-            rows[row] += (RATE / np.sqrt(1 + touched[row]))[:, None].astype(np.float32) * sums
+            own = slice(a, a + BATCH)
+            self._step(hashed[:, own], group[own], place[own])
+
+    def slopes(self, hashed: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes of the log likelihood (outcomes x decisions of each feature), and the weight rows that they belong to."""
+        found = list(self.model.decisions(hashed, group, place))
+        slopes = np.empty((WAYS, sum(rows.size for *_, rows in found)))
+        begin = 0
+        for _, node, answer, rows in found:
+            _, power, total = self.model.forward(node, rows)
+            end = begin + len(node)
+            np.multiply(power.T, -1 / total, out=slopes[:, begin:end])
+            slopes[answer, np.arange(begin, end)] += 1
+            for k in range(1, len(rows)):
+                slopes[:, begin + k * len(node) : end + k * len(node)] = slopes[:, begin:end]
+            begin += rows.size
+        return slopes, np.concatenate([rows.ravel() for *_, rows in found])
+
+    def _step(self, hashed: np.ndarray, group: np.ndarray, place: np.ndarray) -> None:
+        slope, at = self.slopes(hashed, group, place)
+        size = len(self.model.rows)
+        self.touched += np.bincount(at, minlength=size)
+        for way in range(WAYS):
+            sums = np.bincount(at, slope[way], minlength=size).astype(np.float32)
+            self.squares[way] += sums * sums
+            self.model.rows[:, way] += RATE * sums / np.sqrt(self.squares[way] + 1)
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -234,41 +300,50 @@ def statistics(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).head()
     frequent = counts.where(F.col("n") * HEAD >= total["tokens"]).toPandas()  # at most HEAD rows
     frequent = frequent.sort_values("token")
-    model = Model.start(frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), total["tokens"], total["types"])
+    rare = max(1, total["types"] - len(frequent))
+    leaves = np.zeros(WAYS ** min(MOST_RARE_DIGITS, max(0, math.ceil(math.log(rare / TYPES_PER_LEAF, WAYS)))))
+    leaf = F.shiftrightunsigned("token", LEAF_SHIFT).bitwiseAND(F.lit(len(leaves) - 1))
+    masses = counts.where(F.col("n") * HEAD < total["tokens"]).groupBy(leaf.alias("leaf")).agg(F.sum(F.col("n") + 1).alias("mass"))
+    found = masses.toPandas()  # at most one row for each leaf
+    leaves[found["leaf"].to_numpy(np.int64)] = found["mass"]
+    model = Model.start(frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64), total["tokens"], total["types"], leaves)
     return model, counts
 
 
+def _learning(shared):
+    def learn(own: pd.DataFrame) -> pd.DataFrame:
+        learner = _Learner(shared.value)
+        for part in _slices(own.sort_values(["row", "text"])["text"]):
+            flat, first, _ = _flat(part)
+            learner.learn(flat, first)
+        at = np.flatnonzero(learner.touched)
+        weights = learner.model.rows[at] * learner.touched[at, None].astype(np.float32)
+        return pd.DataFrame({"at": at.astype(np.int32), "n": learner.touched[at], "w": pd.Series(list(weights), dtype=object)})
+
+    return learn
+
+
 def train(docs: DataFrame, model: Model, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Gradient updates over all texts, each in one round; returns the model with new weights."""
+    """Gradient updates over all texts, each in one round; returns the model with new weights.
+
+    Rows are dealt to learners by a hash of all their columns of plain types: give an id besides the text, so that
+    copies of a text that many rows bear are spread over the learners.
+    """
     context = docs.sparkSession.sparkContext
+    plain = [c for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
+    row = F.xxhash64(F.lit("learner"), *[F.col(f"`{c}`") for c in plain])
+    learners = math.ceil(max(1, model.tokens) / rounds / TOKENS_PER_LEARNER)
+    dealt = docs.select(text_or_empty(text).alias("text"), row.alias("row"))
+    turn_of, learner_of = F.pmod("row", F.lit(rounds)), F.pmod(F.shiftright("row", 8), F.lit(learners)).cast("int")
     for turn in range(rounds):
         shared = context.broadcast(model)
-
-        def learn(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            learner = _Learner(shared.value)
-            for frame in frames:
-                for part in _slices(frame["text"]):
-                    flat, first, _ = _flat(part)
-                    learner.learn(flat, first)
-            for kind, rows in enumerate((learner.model.class_rows, learner.model.word_rows)):
-                at = np.flatnonzero(learner.touched[kind])
-                if not len(at):  # a task without a row in this round
-                    continue
-                weights = (rows[at] * learner.touched[kind][at, None]).astype(np.float32)
-                yield pd.DataFrame({"kind": np.int32(kind), "at": at.astype(np.int32), "n": learner.touched[kind][at], "w": list(weights)})
-
-        own = docs.where(F.pmod(F.xxhash64(F.lit("round"), F.col(text)), F.lit(rounds)) == turn)
-        given = own.select(text_or_empty(text).alias("text"))
-        learners = max(1, docs.rdd.getNumPartitions() // SCANS_PER_LEARNER, min(docs.rdd.getNumPartitions(), 8))
-        parts = given.coalesce(learners).mapInPandas(learn, "kind int, at int, n double, w array<float>")
-        sums = parts.groupBy("kind", "at").agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(max(CLASSES, WORDS))])
-        found = sums.toPandas()  # at most CLASS_ROWS + WORD_ROWS rows
-        tables = [model.class_rows.copy(), model.word_rows.copy()]
-        for kind, rows in enumerate(tables):
-            own_rows = found[found["kind"] == kind]
-            weights = own_rows[[f"w{i}" for i in range(rows.shape[1])]].to_numpy()
-            rows[own_rows["at"].to_numpy()] = weights / own_rows["n"].to_numpy()[:, None]
-        model = Model(**{**model.__dict__, "class_rows": tables[0], "word_rows": tables[1]})
+        given = dealt.where(turn_of == turn).withColumn("learner", learner_of)
+        parts = given.groupBy("learner").applyInPandas(_learning(shared), "at int, n long, w array<float>")
+        sums = parts.groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[i].cast("double")).alias(f"w{i}") for i in range(WAYS)])
+        found = sums.toPandas()  # at most one row for each row of the weight table
+        rows = model.rows.copy()
+        rows[found["at"].to_numpy()] = found[[f"w{i}" for i in range(WAYS)]].to_numpy() / found["n"].to_numpy()[:, None]
+        model = replace(model, rows=rows)
         shared.unpersist()
     return model
 
@@ -280,15 +355,15 @@ def _score_slice(model: Model, texts: pd.Series) -> pd.DataFrame:
     flat, first, lengths = _flat(texts)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     at, hit = model.look_up(flat)
-    target, count = (model.target[at], model.count[at]) if len(model.head) else (np.zeros(len(flat), np.int32), np.zeros(len(flat)))
-    target = np.where(hit, target, 0)
-    logs = np.where(hit, np.log10(count + 1.0), 0.0)
+    group, place = model.targets(flat, at, hit)
+    logs = np.where(hit, np.log10((model.count[at] if len(model.head) else np.zeros(len(flat))) + 1.0), 0.0)
     hashed = model.features(flat, hit, first)
     fitted = np.zeros(len(flat))
     for a in range(0, len(flat), BLOCK):
-        fitted[a : a + BLOCK] = model.log10(hashed[:, a : a + BLOCK], target[a : a + BLOCK])
-    # A token that is not predicted by itself has its share of the others' mass; outside the head its count follows later.
-    fitted += np.where(target == 0, logs - model.other, 0.0)
+        own = slice(a, a + BLOCK)
+        fitted[own] = model.log10(hashed[:, own], group[own], place[own])
+    # A rare token has its share of its leaf's mass; its count follows later.
+    fitted[~hit] -= model.leaf_log[place[~hit]]
     per_text = lambda x: np.bincount(owner, x, minlength=len(lengths))
     ends = np.cumsum(np.bincount(owner[~hit], minlength=len(lengths)))
     return pd.DataFrame({
@@ -317,21 +392,24 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "t
     scored = F.pandas_udf(_typed(_score_batches(shared)), kind)
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c != text and c.lower() not in new]
-    first = docs.select(*others, scored(text_or_empty(text)).alias("_s"), F.monotonically_increasing_id().alias("_row"))
-    first = materialize(first)
+    own, row, logs, seen = fresh(docs, "scored", "row", "logs", "seen")
+    kept = [F.col(f"`{c}`") for c in others]
+    first = materialize(docs.select(*kept, scored(text_or_empty(text)).alias(own), F.monotonically_increasing_id().alias(row)))
     rare = counts.where(F.col("n") * HEAD < model.tokens).withColumnRenamed("n", "c")
-    tail = first.select("_row", F.explode("_s.tail").alias("token")).join(rare, "token")
-    sums = tail.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("_logs"), F.count("*").alias("_seen"))
-    joined = first.join(sums, "_row", "left")
-    logs, seen = F.coalesce("_logs", F.lit(0.0)), F.coalesce("_seen", F.lit(0).cast("long"))
+    tail = first.select(row, F.explode(f"{own}.tail").alias("token")).join(rare, "token")
+    sums = tail.groupBy(row).agg(F.sum(F.log10(F.col("c") + 1.0)).alias(logs), F.count("*").alias(seen))
+    joined = first.join(sums, row, "left")
+    some, met = F.coalesce(logs, F.lit(0.0)), F.coalesce(seen, F.lit(0).cast("long"))
     bottom = float(np.log10(model.tokens + model.types + 1))
+    unseen = -float(np.log10(len(model.leaf_log)))  # of the part of a leaf's mass that unseen tokens have
+    n, known = F.col(f"{own}.n"), F.col(f"{own}.known") + met
     return joined.select(
-        *others,
-        F.col("_s.n").alias("n_tokens"),
-        (F.col("_s.known") + seen).alias("n_known"),
+        *kept,
+        n.alias("n_tokens"),
+        known.alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("_s.base") + logs - F.col("_s.n") * bottom).alias("base_score"),
-        (F.col("_s.fitted") + logs).alias("score"),
+        (F.col(f"{own}.base") + some - n * bottom).alias("base_score"),
+        (F.col(f"{own}.fitted") + some + (n - known) * unseen).alias("score"),
     )
 
 

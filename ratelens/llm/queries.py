@@ -100,7 +100,7 @@ def op8_maxent_lm(spark, d):
     docs = table(spark, d, "documents")
     held_out = remainder_of_id("doc_id", 7) == 2
     given = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return lm.lm_scores(given, docs.where(~held_out).select("text"))
+    return lm.lm_scores(given, docs.where(~held_out).select("doc_id", "text"))
 
 
 @query("op9_impact_topk")

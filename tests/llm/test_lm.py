@@ -48,45 +48,92 @@ def test_training_beats_the_base_on_held_out_texts(spark):
     assert held["score"].sum() > held["base_score"].sum() + 0.05 * abs(held["base_score"].sum())
 
 
+def drawn_model(rng, rare=20_000):
+    """A model of 1,500 frequent tokens and of rare ones in 256 leaves, and a text of its tokens."""
+    head = np.sort(rng.integers(-(2**62), 2**62, 1500))
+    count = rng.integers(5, 90, len(head))
+    leaves = rng.integers(1, 200, 256).astype(float)
+    return lm.Model.start(head, count, int(count.sum()) + 3 * rare, len(head) + rare, leaves), head
+
+
+def every_target(model):
+    groups = [np.full(lm.WAYS**d, k) for k, d in enumerate(model.depths)]
+    return np.concatenate(groups), np.concatenate([np.arange(len(g)) for g in groups])
+
+
 def test_the_model_is_a_distribution():
     rng = np.random.default_rng(3)
-    head = np.sort(rng.integers(-(2**62), 2**62, 500))
-    count = rng.integers(5, 90, 500)
-    model = lm.Model.start(head, count, int(count.sum()) + 300, 800)
+    model, head = drawn_model(rng)
     learner = lm._Learner(model)
-    text = rng.choice(head[:40], 4000)
+    text = rng.choice(np.r_[head[:40], rng.integers(-(2**62), 2**62, 40)], 4000)
     learner.learn(text, np.zeros(4000, np.int64))
     trained = learner.model
-    at, hit = trained.look_up(text[:3])
+    _, hit = trained.look_up(text[:3])
     hashed = trained.features(text[:3], hit, np.zeros(3, np.int64))[:, 2:3]
-    outcomes = np.arange(lm.CLASSES * lm.WORDS)
-    every = 10 ** trained.log10(np.repeat(hashed, len(outcomes), axis=1), outcomes)
+    group, place = every_target(trained)
+    every = 10 ** trained.log10(np.repeat(hashed, len(group), axis=1), group, place)
     assert abs(every.sum() - 1) < 1e-4
-    # Outcome 0 is shared by the other tokens and one unseen one, by their add-one counts.
-    assert np.isfinite(trained.other)
-
-
-def test_gradient_equals_finite_differences():
+    # Each frequent token has a target of its own, which no rare token shares.
+    at, hit = trained.look_up(head)
+    targets = list(zip(*trained.targets(head, at, hit)))
+    assert hit.all() and len(set(targets)) == len(head) and all(g != lm.RARE for g, _ in targets)
+
+
+def plain_log10(model, hashed, group, place):
+    """Logarithm of a target's probability, by a plain loop over its softmaxes."""
+    out, path = 0.0, [(0, group)]
+    for j in range(model.depths[group]):
+        digits = model.depths[group] - j
+        path.append((int(model.first_node[group]) + (16**j - 1) // 15 + (place >> 4 * digits), place >> 4 * (digits - 1) & 15))
+    for i, (node, answer) in enumerate(path):
+        logits = [float(x) for x in model.bias[node]]
+        for feature in range(3 if i == 0 else lm.LOWER_FEATURES):
+            mixed = int(hashed[feature]) + int(node) * lm._BASE & 2**64 - 1
+            mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+            row = (mixed ^ mixed >> 32) >> 33 & len(model.rows) - 1
+            logits = [x + float(w) for x, w in zip(logits, model.rows[row])]
+        out += logits[answer] - math.log(sum(map(math.exp, logits)))
+    return out / math.log(10)
+
+
+def test_scores_and_steps_equal_a_plain_loop():
     rng = np.random.default_rng(5)
-    head = np.arange(1000, 1100)
-    model = lm.Model.start(head, rng.integers(1, 50, 100), 5000, 200)
-    text = rng.choice(head, 64)
+    model, head = drawn_model(rng)
+    model.rows += rng.normal(0, 0.2, model.rows.shape).astype(np.float32)
+    text = rng.choice(np.r_[head, rng.integers(-(2**62), 2**62, 300)], 200)
     at, hit = model.look_up(text)
-    hashed = model.features(text, hit, np.zeros(64, np.int64))
-    target = model.target[at]
-    model.class_rows += rng.normal(0, 0.2, model.class_rows.shape).astype(np.float32)
-    group, _, class_at, _, classes, _ = model.forward(hashed, target)
-    slope = -classes[1] / classes[2][:, None]
-    slope[np.arange(64), group] += 1
-    row = class_at[0, 5]
-    expected = sum(slope[n] * (class_at[:, n] == row).sum() for n in range(64))
-    for c in (0, 7):
-        loss = []
+    group, place = model.targets(text, at, hit)
+    hashed = model.features(text, hit, np.zeros(len(text), np.int64))
+    expected = [plain_log10(model, hashed[:, i], int(group[i]), int(place[i])) for i in range(len(text))]
+    assert np.abs(model.log10(hashed, group, place) - expected).max() < 1e-4
+    # Slopes against finite differences.
+    slopes, rows = lm._Learner(model).slopes(hashed, group, place)
+    for row, way in ((rows[0], 3), (rows[-1], 7), (rows[250], 0)):
+        own = slopes[way, rows == row].sum()
+        ends = []
         for step in (0.02, -0.02):
-            model.class_rows[row, c] += step
-            loss.append(model.log10(hashed, target).sum() * np.log(10))
-            model.class_rows[row, c] -= step
-        assert abs((loss[0] - loss[1]) / 0.04 - expected[c]) < 0.02
+            model.rows[row, way] += step
+            ends.append(model.log10(hashed, group, place).sum() * math.log(10))
+            model.rows[row, way] -= step
+        assert abs((ends[0] - ends[1]) / 0.04 - own) < 0.02
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOKENS_PER_LEARNER", 1000)
+    monkeypatch.setattr(lm, "HEAD", 512)  # so that rare tokens occur
+    docs = frame(spark, prose(n=300))
+    scores = []
+    for parts in (1, 8, 64):
+        found = lm.lm_scores(docs.repartition(parts, "text"), docs.repartition(parts)).collect()
+        scores.append(dict((r["doc_id"], r["score"]) for r in found))
+    assert all(abs(s[k] - v) <= 1e-6 * abs(v) for s in scores[1:] for k, v in scores[0].items())
+
+
+def test_names_of_its_own_do_not_clash(spark):
+    docs = frame(spark, prose(n=30)).selectExpr("*", "1 AS row", "2 AS scored", "3 AS logs", "4 AS seen", "5 AS _row", "6 AS _s", "7 AS learner", "8 AS token")
+    found = lm.lm_scores(docs, docs)
+    assert found.columns[-5:] == ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert {(r["row"], r["scored"], r["logs"], r["seen"], r["_row"], r["_s"], r["learner"], r["token"]) for r in found.collect()} == {tuple(range(1, 9))}
 
 
 def test_empty_tables(spark):
