@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import replaced
+from ratelens.llm.common import fresh, replaced
 
 #: Texts of each language that the classifier is fitted on, in expectation.
 ROWS_PER_LANGUAGE = 5_000
@@ -175,5 +175,6 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
 
     An empty table gives an empty one; repeated rows get equal answers; ties go to the first language by name.
     """
-    marked = replaced(docs, _found=language_column(docs, model, text))
-    return replaced(marked, lang_pred=F.col("_found.lang_pred"), score=F.col("_found.score")).drop("_found")
+    (found,) = fresh(docs, "found")
+    marked = docs.withColumn(found, language_column(docs, model, text))
+    return replaced(marked, lang_pred=F.col(f"{found}.lang_pred"), score=F.col(f"{found}.score")).drop(found)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import let, replaced, text_key
+from ratelens.llm.common import fresh, let, replaced, text_key
 from ratelens.session import materialize
 
 WINDOW = 3
@@ -81,13 +81,14 @@ def remove_repeated_lines(
     empty one. Extra columns are passed on; one named `removed_lines` is replaced.
     """
     covered = materialize(covered_lines(docs, id, text, window))
-    gone = covered.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("covered").alias("_covered"))
+    own_doc, own_mark, lines = fresh(docs, "doc", "mark", "covered", "removed_lines")[:3]
+    gone = covered.select(F.col("doc").alias(own_doc), F.col("mark").alias(own_mark), F.col("covered").alias(lines))
     mark = text_key(F.col(text))[0]
     # Merged at every size: the removals grow with the corpus, so they are never broadcast.
-    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col("_doc")) & (mark == F.col("_mark")), "left")
-    columns = {text: F.when(F.col("_covered").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_covered")))}
-    out = replaced(joined, **columns, removed_lines=F.when(F.col("_covered").isNull(), 0).otherwise(F.size("_covered")).cast("int"))
+    joined = docs.join(gone.hint("merge"), F.col(id).eqNullSafe(F.col(own_doc)) & (mark == F.col(own_mark)), "left")
+    columns = {text: F.when(F.col(lines).isNull(), F.col(text)).otherwise(_without(F.col(text), F.col(lines)))}
+    out = replaced(joined, **columns, removed_lines=F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("int"))
     if length and length in docs.columns:
         out = replaced(out, **{length: F.char_length(F.col(text)).cast(dict(docs.dtypes)[length])})
     names = [c for c in docs.columns if c.lower() != "removed_lines"]
-    return out.select(*names, "removed_lines")
+    return out.select(*[F.col(f"`{c}`") for c in names], "removed_lines")

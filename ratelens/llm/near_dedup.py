@@ -366,23 +366,24 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     Equal texts, also empty ones, share a class; a null text is a class of its own, named by the row's id. A class
     without any id has a null class id. An empty table gives an empty one; very long texts are compared whole.
     """
-    classes = materialize(text_classes(docs, id, text, threshold)).select(F.col("a").alias("_ca"), F.col("b").alias("_cb"), F.col("class_id").alias("_class"))
-    docs = docs.select(*[c for c in docs.columns if c.lower() != "class_id"])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "class_id"])
+    ca, cb, own = fresh(docs, "class_a", "class_b", "class_of")
+    classes = materialize(text_classes(docs, id, text, threshold)).select(F.col("a").alias(ca), F.col("b").alias(cb), F.col("class_id").alias(own))
     a, b = text_key(F.col(text))
-    found = docs.join(classes, F.col(text).isNotNull() & (a == F.col("_ca")) & (b == F.col("_cb")), "left")
-    name = F.when(F.col(text).isNull(), F.col(id)).otherwise(F.col("_class"))
-    return found.withColumn("class_id", name).drop("_ca", "_cb", "_class")
+    found = docs.join(classes, F.col(text).isNotNull() & (a == F.col(ca)) & (b == F.col(cb)), "left")
+    name = F.when(F.col(text).isNull(), F.col(id)).otherwise(F.col(own))
+    return found.withColumn("class_id", name).drop(ca, cb, own)
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: the one with the smallest id (of rows that repeat id and text, any one). Null texts stay."""
     classes = text_classes(docs, id, text, threshold)
+    ka, kb, ca, cb, own = fresh(docs, "key_a", "key_b", "class_a", "class_b", "class_of")
     kept = materialize(classes.where((F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb"))).select(
-        F.col("a").alias("_ca"), F.col("b").alias("_cb"), F.col("class_id").alias("_class")
+        F.col("a").alias(ca), F.col("b").alias(cb), F.col("class_id").alias(own)
     ))
-    ka, kb = fresh(docs, "key_a", "key_b")
     a, b = text_key(F.col(text))
     keyed = docs.where(F.col(text).isNotNull()).withColumns({ka: a, kb: b})
-    same = (F.col(ka) == F.col("_ca")) & (F.col(kb) == F.col("_cb")) & F.col(id).eqNullSafe(F.col("_class"))
+    same = (F.col(ka) == F.col(ca)) & (F.col(kb) == F.col(cb)) & F.col(id).eqNullSafe(F.col(own))
     met = keyed.join(kept, same).dropDuplicates([ka, kb, id])
-    return met.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(text).isNull()))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import number_within, replaced
+from ratelens.llm.common import fresh, number_within, replaced
 
 # The multiplier of the method's generator x -> 2862933555777941757 x + 1 (modulo 2^64), in 32-bit halves.
 MULTIPLIER_HIGH = 2862933555777941757 >> 32
@@ -88,9 +88,10 @@ def with_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
     """
     high, low = key_halves(df, key)
     at = jump(high, low, shards)
-    placed = replaced(df, _jumped=at)
-    grown = F.when(F.col("_jumped.next") == shards, F.lit(shards)).otherwise(F.col("_jumped.at"))
-    return replaced(placed, shard=F.col("_jumped.at").cast("int"), grown_shard=grown.cast("int")).drop("_jumped")
+    (jumped,) = fresh(df, "jumped")
+    placed = df.withColumn(jumped, at)
+    grown = F.when(F.col(f"{jumped}.next") == shards, F.lit(shards)).otherwise(F.col(f"{jumped}.at"))
+    return replaced(placed, shard=F.col(f"{jumped}.at").cast("int"), grown_shard=grown.cast("int")).drop(jumped)
 
 
 def shard_rows(df: DataFrame, key: str, shards: int, order: list[str]) -> DataFrame:

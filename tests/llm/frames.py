@@ -2,6 +2,11 @@
 
 import random
 
+#: Names that operators use, or once used, for columns of their own.
+OWN_NAMES = (
+    "_ca _cb _class class_a class_b class_of key_a key_b _doc _mark _covered doc mark covered _found found _jumped jumped _sure sure "
+    "first before row scored logs seen _row _s learner"
+).split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {
     "en": "the of and that with this from river stone light water house under night morning thought through three".split(),
@@ -37,4 +42,5 @@ def clashing(docs):
     """More columns, with names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    return docs.selectExpr("*", "'kept' AS shard", "1 AS bucket", "2 AS a", "3 AS b", "'v' AS id").withColumn("class_id", F.lit("old"))
+    more = {name: F.lit(i) for i, name in enumerate(OWN_NAMES)}
+    return docs.selectExpr("*", "'kept' AS shard", "1 AS bucket", "2 AS a", "3 AS b", "'v' AS id").withColumns({"class_id": F.lit("old"), **more})
