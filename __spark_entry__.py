@@ -20,7 +20,7 @@ from ratelens.plans import ratings as R
 from ratelens.plans import recommendations as RC
 from ratelens.plans import review_tables as RT
 from ratelens.session import materialize, shared_folder
-from ratelens.sources import readers, writers
+from ratelens.sources import keyed_store, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1056,6 +1056,18 @@ def keyed_insert(spark, d):
     return readers.table(spark, folder, ["review_id", "taste"])
 
 
+@query("keyed_store", _with(_DOCS) + "SELECT review_id, taste FROM docs")
+def keyed_store_query(spark, d):
+    """The batches of `keyed_insert` in a store of parts with Bloom filters, where a batch reads only the parts it may meet."""
+    raw = RT.reviews(spark, d).select("review_id", "taste", *RT.REVIEW_ORDER[:3])
+    order = [F.col(c) for c in RT.REVIEW_ORDER]
+    middle = F.lit(NEW_RATINGS_FROM).cast("timestamp_ntz")
+    store = keyed_store.KeyedStore(shared_folder(spark, "keyed-store"), "review_id")
+    for batch in (raw.where(F.col("review_ts") < middle), raw, raw.where(F.col("review_ts") < middle)):
+        store.insert(batch, order)
+    return store.rows(raw).select("review_id", "taste")
+
+
 @query("stored_scores", _with(_SCORED) + "SELECT user_id, item_id, round(prediction, 6) AS prediction FROM scored WHERE user_id = 7")
 def stored_scores(spark, d):
     """Scores in user buckets, one user looked up."""
