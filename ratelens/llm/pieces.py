@@ -24,11 +24,36 @@ from pyspark.sql import functions as F
 from ratelens.llm.common import fresh, replaced, text_or_empty
 
 BLANK = "▁"
-#: Segments and pairs of pieces that a task remembers; when full, the memory starts anew.
-REMEMBERED = 1 << 17
+#: Stretches that a worker remembers at most, and pairs of pieces.
+REMEMBERED = 1 << 19
+#: Rows that a worker gives back at a time.
+SLICE = 1_000
+#: Characters of a segment that is remembered, at most.
+LONGEST = 64
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
+class _Memory:
+    """Ids of texts met before. Half of the room is for those met lately: when it is full, those not met since then go."""
+
+    def __init__(self, room: int):
+        self.half, self.new, self.old = room // 2, {}, {}
+
+    def get(self, text: str) -> tuple[int, ...] | None:
+        found = self.new.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is not None:
+                self.put(text, found)
+        return found
+
+    def put(self, text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= LONGEST:
+            if len(self.new) >= self.half:
+                self.new, self.old = {}, self.new
+            self.new[text] = ids
+
+
 class Pieces:
     """Pieces with scores: `kind` is "unigram" or "bpe". `pieces[i]` has id i; those named in `special` are no text."""
 
@@ -38,6 +63,7 @@ class Pieces:
         self.bytes = {int(m[1], 16): i for i, p in enumerate(pieces) if (m := _BYTE.match(p))}
         marked = {*special, *self.bytes.values()}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in marked and p}
+        self.sizes = list(map(len, pieces))
         self.raw = [b"" if i in special else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
@@ -47,8 +73,11 @@ class Pieces:
         self.automaton.make_automaton()
         # If no piece holds a blank after another character, no path needs to cross such a place.
         self.split = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self._segments: dict[str, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        # Nor one between two characters that stand side by side in no piece.
+        self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._segments, self._stretches = _Memory(REMEMBERED // 2), _Memory(REMEMBERED)
+        self._pairs: dict[int, bool] = {}
+        self._histories: dict[str, tuple[list, list] | None] = {}  # one entry a piece at most
 
     @classmethod
     @cache
@@ -61,10 +90,12 @@ class Pieces:
         ids = range(model.get_piece_size())
         return cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], "bpe")
 
-    def _merged(self, text: str) -> list[str]:
-        """BPE by definition, for the few characters of two pieces: merge the pair of the best score, the leftmost of equals."""
+    pattern = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+
+    def _merged(self, text: str, down_to: int = 1) -> list[str]:
+        """BPE by definition, for the few characters of a piece or two: merge the pair of the best score, the leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
             if best is None:
                 break
@@ -72,16 +103,54 @@ class Pieces:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _history(self, text: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]] | None:
+        """What stands at the first and at the last character of a piece while BPE makes it, each with the score of the
+        merge that put it there. None if BPE does not arrive at the piece, or makes a part by a merge of a score that
+        is no better than the whole's: then the merges of two neighbours need not take turns by their scores."""
+        if text not in self._histories:
+            found = None
+            if len(text) == 1:
+                found = ([(0.0, text)], [(0.0, text)])
+            elif self._merged(text) == [text]:
+                left, right = self._merged(text, 2)
+                before, after, own = self._history(left), self._history(right), self.scores[self.ids[text]]
+                if before and after and all(len(p) == 1 or self.scores[self.ids[p]] > own for p in (left, right)):
+                    found = ([*before[0], (own, text)], [*after[1], (own, text)])
+            self._histories[text] = found
+        return self._histories[text]
+
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether BPE of the two pieces' text gives these two. Both grow by merges of falling score, so their merges take
+        turns by score; at each turn the parts that touch must not have a better merge with each other."""
+        before, after = self._history(left), self._history(right)
+        if before is None or after is None:
+            return self._merged(left + right) == [left, right]
+        ends, starts = before[1], after[0]
+        i = j = 0
+        never = float("-inf")
+        while True:
+            next_left = ends[i + 1][0] if i + 1 < len(ends) else never
+            next_right = starts[j + 1][0] if j + 1 < len(starts) else never
+            across = self.ids.get(ends[i][1] + starts[j][1])
+            # Of equal scores the leftmost pair comes first.
+            if across is not None and self.scores[across] > next_left and self.scores[across] >= next_right:
+                return False
+            if next_left == never and next_right == never:
+                return True
+            if next_left >= next_right:
+                i += 1
+            else:
+                j += 1
+
     def _may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two pieces as they are; left is -1 at the beginning."""
         if self.kind != "bpe":
             return True
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            parts = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
-            known = self._pairs[left, right] = self._merged("".join(parts)) == parts
+        if len(self._pairs) >= REMEMBERED:
+            self._pairs.clear()
+        piece = self.pieces[right]
+        known = self._merged(piece) == [piece] if left < 0 else self._stay_apart(self.pieces[left], piece)
+        self._pairs[left * len(self.pieces) + right] = known
         return known
 
     def _best_path(self, text: str) -> list[int]:
@@ -89,20 +158,28 @@ class Pieces:
         n = len(text)
         score: list[float | None] = [0.0] + [None] * n
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        matches = self.automaton.iter(text)
-        found = next(matches, None)
-        for end in range(1, n + 1):
-            while found is not None and found[0] == end - 1:
-                piece = found[1]
-                begin = end - len(self.pieces[piece])
-                before = score[begin]
-                if before is not None and self._may_follow(last[begin], piece):
-                    reached = before + self.scores[piece]
+        sizes, scores, ids, known, count = self.sizes, self.scores, self.ids, self._pairs.get, len(self.pieces)
+        at = 0  # up to here, characters without a piece are dealt with
+        for end, piece in self.automaton.iter(text):
+            end += 1
+            while at < end - 1:
+                at += 1
+                if score[at] is None and text[at - 1] not in ids and score[at - 1] is not None:
+                    score[at], start[at] = score[at - 1], at - 1
+            begin = end - sizes[piece]
+            before = score[begin]
+            if before is not None:
+                left = last[begin]
+                follows = known(left * count + piece)
+                if follows is None:
+                    follows = self._may_follow(left, piece)
+                if follows:
+                    reached = before + scores[piece]
                     if score[end] is None or reached > score[end]:
                         score[end], last[end], start[end] = reached, piece, begin
-                found = next(matches, None)
-            if score[end] is None and text[end - 1] not in self.ids and score[end - 1] is not None:
-                score[end], last[end], start[end] = score[end - 1], -1, end - 1  # a character without a piece
+        for at in range(at + 1, n + 1):
+            if score[at] is None and text[at - 1] not in ids and score[at - 1] is not None:
+                score[at], start[at] = score[at - 1], at - 1
         out: list[int] = []
         at = n
         while at:
@@ -113,22 +190,33 @@ class Pieces:
             at = start[at]
         return out[::-1]
 
+    def _ids_of(self, segment: str) -> tuple[int, ...]:
+        """Ids of a segment from those of its stretches; it is cut where no piece can lie across."""
+        neighbours, known = self.neighbours, self._stretches
+        ends = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in neighbours]
+        out: list[int] = []
+        for begin, end in zip((0, *ends), (*ends, len(segment))):
+            stretch = segment[begin:end]
+            ids = known.get(stretch)
+            if ids is None:
+                ids = tuple(self._best_path(stretch))
+                known.put(stretch, ids)
+            out.extend(ids)
+        return tuple(out)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text; blanks count as piece characters and one blank is put in front. An empty text has none."""
         if not text:
             return []
         marked = BLANK + text.replace(" ", BLANK)
-        parts = re.findall(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", marked) if self.split else [marked]
+        parts = self.pattern.findall(marked) if self.split else [marked]
         out: list[int] = []
         known = self._segments
         for part in parts:
-            ids = known.get(part)
+            ids = known.new.get(part) or known.get(part)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = self._best_path(part)
-                if len(part) <= 64:
-                    known[part] = tuple(ids)
+                ids = self._ids_of(part)
+                known.put(part, ids)
             out.extend(ids)
         return out
 
@@ -170,9 +258,10 @@ def _both_ways(text: Column, model: str) -> Column:
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = Pieces.load(model)
         for series in batches:
-            ids = [np.array(pieces.encode(t), np.int32) for t in series]
-            decoded = [pieces.decode(i) for i in ids]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+            for first in range(0, len(series), SLICE):
+                ids = [np.array(pieces.encode(t), np.int32) for t in series.iloc[first : first + SLICE]]
+                decoded = [pieces.decode(i) for i in ids]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
     return both(text)
 

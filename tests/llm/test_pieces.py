@@ -66,3 +66,24 @@ def test_frames(spark):
         assert r["decoded"] == (r["text"] or "") and r["n_ids"] == len(r["ids"])
     assert pieces.with_pieces(docs.where(F.lit(False))).count() == 0
     assert Pieces.load().decode(Pieces.load().encode(f"a{BLANK}b")) == "a b"
+
+
+def test_neighbours_and_memory_equal_the_definition(library, monkeypatch):
+    rng = random.Random(7)
+    model = Pieces.load()
+    names = [model.pieces[i] for i in model.ids.values()]
+    for _ in range(4000):
+        left, right = rng.choice(names), rng.choice(names)
+        assert model._stay_apart(left, right) == (model._merged(left + right) == [left, right])
+    # With scores in no order a part may come after its whole: the definition decides.
+    odd = ["a", "b", "ab", "aba", "ba", "bab", "abab", "aa", "bb"]
+    for seed in range(30):
+        shuffled = random.Random(seed).sample(range(len(odd)), len(odd))
+        small = Pieces(odd, [-float(x) for x in shuffled], "bpe", ())
+        for left in odd:
+            for right in odd:
+                assert small._stay_apart(left, right) == (small._merged(left + right) == [left, right])
+    monkeypatch.setattr(pieces, "REMEMBERED", 8)  # forgets all the time
+    forgetful = Pieces(model.pieces, model.scores, "bpe")
+    for text in (sentence(rng, "de", 300), "one.%%% one.%%% two### ###", "x" * 200):
+        assert forgetful.encode(text) == library.encode(text)
