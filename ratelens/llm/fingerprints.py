@@ -16,8 +16,6 @@ from ratelens.operators.ordinals import with_ordinal
 from ratelens.session import materialize
 
 K, S = 5, 2
-#: Anchors of the smallest hashes that a fingerprint holds.
-SIZE = 64
 
 
 def _words(text: Column) -> Column:
@@ -54,26 +52,30 @@ def anchors(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Rising array of at most SIZE ints: the smallest anchor hashes of the whole text.
+    """Array of (at, hash): every anchor of the whole text in order, with the number of its first word.
 
     A text without an anchor (fewer than five words, or none chosen) is represented by the hash of all of
-    it, so equal texts always have equal fingerprints and no fingerprint is empty. A null text gives null.
+    it, at -1, so equal texts always have equal fingerprints and no fingerprint is empty. A null text gives null.
     """
-    hashes = _anchors(text, _kmer_hash)
-    smallest = let(hashes, lambda h: F.when(F.size(h) > 0, F.slice(F.sort_array(F.array_distinct(h)), 1, SIZE)))
-    return F.when(text.isNotNull(), F.coalesce(smallest, F.array(F.hash(F.lit("whole"), text))))
+    whole = F.struct(F.lit(-1).alias("at"), F.hash(F.lit("whole"), text).alias("hash"))
+    found = let(anchors(text), lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(whole)))
+    return F.when(text.isNotNull(), found)
+
+
+def hashes(marks: Column) -> Column:
+    """The distinct hashes of a fingerprint: what is compared, without the places."""
+    return F.array_distinct(F.transform(marks, lambda m: m["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two texts' anchors: of the SIZE smallest of both fingerprints together, the
-    share that both hold."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    return let(both, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))).cast("double") / F.size(u))
+    """Jaccard similarity of two texts' anchors, given the distinct hashes of each: exact, from all of them."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: both.cast("double") / (F.size(a) + F.size(b) - both))
 
 
 def as_text(marks: Column) -> Column:
-    """The fingerprint as hexadecimal digits, eight for each anchor."""
-    return F.array_join(F.transform(marks, lambda m: F.lpad(F.lower(F.hex(m.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    """The fingerprint as hexadecimal digits, for each anchor eight of its hash, a colon and its place, with blanks between."""
+    digits = lambda m: F.lpad(F.lower(F.hex(m["hash"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    return F.array_join(F.transform(marks, lambda m: F.concat(digits(m), F.lit(":"), m["at"].cast("string"))), " ")
 
 
 def shared_passages(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -119,7 +121,8 @@ def _key(id: str, text: str) -> list[Column]:
 
 
 def half_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, text, `marks` (fingerprint), `edited`, `edited_marks`, `next_id`, `next_marks`.
+    """One row per row of `docs`: id, text, `marks` (fingerprint), `edited`, `edited_marks`, `next_id`, `next_hashes`
+    (the distinct hashes of the next document's fingerprint).
 
     `edited` is the text with its last half (rounded down, in code points) replaced by as many code points, or all,
     from the beginning of the next document. A null text counts as empty; a table of one document edits it
@@ -131,13 +134,13 @@ def half_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     links = materialize(next_documents(docs, id, text))
     following = given.join(links, (given["a"] == links["next_a"]) & (given["b"] == links["next_b"])).select(
         links["a"].alias("to_a"), links["b"].alias("to_b"), F.col("id").alias("next_id"),
-        F.substring(F.col("text"), F.lit(1), F.col("half")).alias("beginning"), fingerprint(F.col("text")).alias("next_marks"),
+        F.substring(F.col("text"), F.lit(1), F.col("half")).alias("beginning"), hashes(fingerprint(F.col("text"))).alias("next_hashes"),
     )
     # One row per document, also where its follower is in the table several times.
-    sent = following.groupBy("to_a", "to_b").agg(*[F.first(c).alias(c) for c in ("next_id", "beginning", "next_marks")])
+    sent = following.groupBy("to_a", "to_b").agg(*[F.first(c).alias(c) for c in ("next_id", "beginning", "next_hashes")])
     met = given.join(sent, (given["a"] == sent["to_a"]) & (given["b"] == sent["to_b"]))
     length = F.char_length("text")
     kept = (length - F.floor(length / 2)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("beginning"))
-    named = met.select(F.col("id").alias(id), "text", fingerprint(F.col("text")).alias("marks"), "next_id", "next_marks", edited.alias("edited"))
+    named = met.select(F.col("id").alias(id), "text", fingerprint(F.col("text")).alias("marks"), "next_id", "next_hashes", edited.alias("edited"))
     return named.withColumn("edited_marks", fingerprint(F.col("edited")))

@@ -8,6 +8,7 @@ matrix are looked up and summed per text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -27,7 +28,8 @@ ORDERS = (1, 2, 3, 4)
 MATRIX_ENTRIES = 1 << 24
 MOST_POSITIONS = 1 << 16
 SMOOTHING = 0.05
-FIT_TASKS = 8
+#: Texts that a task counts in fitting, about.
+ROWS_PER_TASK = 2_500
 UNKNOWN = "und"
 #: Code points handled at a time, so that very long texts need no more memory than others.
 BLOCK = 1 << 20
@@ -108,11 +110,24 @@ class LanguageModel:
         return [self.languages[i] for i in best], 1.0 / share.sum(1)
 
 
+def fitting_sample(labelled: DataFrame, text: str, lang: str, counted: dict[str, int], rows_per_language: int) -> DataFrame:
+    """(lang, text) of about `rows_per_language` rows of each language, of which `counted` has the number of rows."""
+    shares = F.create_map(*[F.lit(x) for k, n in counted.items() for x in (k, min(1.0, rows_per_language / n))])
+    others = [F.col(f"`{c}`") for c, kind in labelled.dtypes if kind in ("bigint", "int", "string")]
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), *others), F.lit(1 << 30)) / float(1 << 30)
+    kept = labelled.where(drawn < F.element_at(shares, F.col(lang)))
+    # Drawn rows are few; those of one key are a row and its repetitions.
+    keyed = kept.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("row"), *others).alias("key"))
+    return keyed.dropDuplicates(["lang", "key"]).select("lang", "text")
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
     """Fit on labelled texts: rows whose text or language is missing are left out.
 
     Priors count all labelled rows. Of a language with more than `rows_per_language` rows, a sample by a
-    hash of text and row content is taken. No labelled row at all gives a model that answers `und`.
+    hash of the row is taken: of its columns of whole numbers and texts. Give an id beside the text, so that copies of a
+    text are drawn one by one. Rows that agree in all of these columns cannot be told apart: they count once, so that no
+    group of them can exceed the bound. No labelled row at all gives a model that answers `und`.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counted = {r[0]: r[1] for r in labelled.groupBy(F.col(lang)).count().collect()}  # one row per language
@@ -124,10 +139,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
         positions //= 2
     if positions < 1024:
         raise ValueError(f"{len(languages)} languages are too many labels for a classifier")
-    shares = F.create_map(*[F.lit(x) for k, n in counted.items() for x in (k, min(1.0, rows_per_language / n))])
-    others = [c for c in docs.columns if dict(docs.dtypes)[c] in ("bigint", "int", "string")]
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in others]), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(drawn < F.element_at(shares, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sample = fitting_sample(labelled, text, lang, counted, rows_per_language)
+    tasks = math.ceil(sum(min(n, rows_per_language) for n in counted.values()) / ROWS_PER_TASK)
     index = {k: i for i, k in enumerate(languages)}
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +154,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_langua
             at = np.flatnonzero(own)
             yield pd.DataFrame({"lang": np.int32(i), "position": at.astype(np.int32), "n": own[at]})
 
-    parts = sample.repartition(FIT_TASKS).mapInPandas(count, "lang int, position int, n long")
+    parts = sample.repartition(tasks).mapInPandas(count, "lang int, position int, n long")
     # At most languages x positions rows, whatever the size of the corpus.
     sums = parts.groupBy("lang", "position").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(languages), positions), SMOOTHING)

@@ -57,7 +57,8 @@ def op1_sharding(spark, d):
 def op2_language_id(spark, d):
     docs = table(spark, d, "documents")
     held_out = remainder_of_id("doc_id", 3) == 1
-    model = langid.fit(docs.where(~held_out).select("text", "lang"))
+    # The id only tells rows apart when the sample is drawn.
+    model = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
     found = docs.select("doc_id", held_out.alias("held_out"), langid.language_column(docs, model).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))
 
@@ -71,14 +72,15 @@ def op4_best_fit_packing(spark, d):
 @query("op5_syncmer_fingerprints")
 def op5_syncmer_fingerprints(spark, d):
     edits = fingerprints.half_edits(table(spark, d, "documents"))
+    own = fingerprints.hashes(F.col("marks"))
     return edits.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.as_text(F.col("marks")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_marks")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
-        fingerprints.likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        fingerprints.likeness(own, fingerprints.hashes(F.col("edited_marks"))).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next_hashes")).alias("near_next"),
         "next_id",
     )
 

@@ -61,3 +61,32 @@ def test_no_labels_and_sample_bound(spark):
     assert [r["lang_pred"] for r in langid.with_language(docs.limit(2), empty).collect()] == ["und", "und"]
     few = langid.fit(docs, rows_per_language=5)
     assert few.languages == ["de", "en", "es"] and np.isfinite(few.log_gram).all()
+
+
+def test_copies_do_not_pass_the_bound(spark):
+    rng = random.Random(11)
+    copies = [(i, "the same text in many copies", "en") for i in range(6000)]
+    docs = spark.createDataFrame(copies + [(10**6 + i, sentence(rng, "en", 6), "en") for i in range(6000)], "doc_id long, text string, lang string")
+    drawn = langid.fitting_sample(docs, "text", "lang", {"en": 12_000}, 600).groupBy(F.col("text") == copies[0][1]).count().collect()
+    assert len(drawn) == 2 and all(220 < r["count"] < 380 for r in drawn)
+    # Without an id the copies are one row, drawn once or not at all.
+    assert langid.fitting_sample(docs.select("text", "lang"), "text", "lang", {"en": 12_000}, 12_000).where(F.col("text") == copies[0][1]).count() == 1
+
+
+def test_prediction_is_plain_naive_bayes(spark):
+    docs = frame(spark, labelled(30))
+    model = langid.fit(docs)
+    texts = ["the house of the", "und der die das", "x"]
+    names, scores = model.predict(texts)
+    total = {k: sum(r["lang"] == k for r in docs.collect()) for k in model.languages}
+    counts = {k: np.full(langid.MOST_POSITIONS, langid.SMOOTHING) for k in model.languages}
+    for r in docs.collect():
+        for _, places in langid._grams([r["text"]], langid.MOST_POSITIONS):
+            np.add.at(counts[r["lang"]], places, 1)
+    for text, name, score in zip(texts, names, scores):
+        logs = {k: np.log(total[k] / sum(total.values())) for k in model.languages}
+        for k in logs:
+            for _, places in langid._grams([text], langid.MOST_POSITIONS):
+                logs[k] += sum(np.log(counts[k][p] / counts[k].sum()) for p in places)
+        best = max(logs, key=logs.get)
+        assert name == best and abs(score - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 1e-3
