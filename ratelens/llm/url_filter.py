@@ -8,6 +8,8 @@ Everything is made of DataFrame functions; links are counted per pair of hosts b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,11 @@ from ratelens.session import drop_materialized, materialize
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 DAMPING = 0.85
-ITERATIONS = 15
 THRESHOLD = 0.5
-#: Rounds end early once no host changes by more.
+#: Rounds end once no host changes by more. All changes together shrink by the damping in each round, so the end always comes.
 STILL = 1e-9
+#: Rounds after which a change of 1 is below STILL, for the SQL, which cannot stop by itself.
+SQL_ROUNDS = math.ceil(math.log(STILL) / math.log(DAMPING))
 #: Addresses with a host in `href` attributes; relative links stay on their host and carry nothing.
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/\"'?#\s>]+)"
 
@@ -55,12 +58,13 @@ def host_edges(pages: DataFrame, host: str, html: str = "html") -> DataFrame:
 
 
 def spread_trust(
-    seeds: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING
+    seeds: DataFrame, edges: DataFrame, still: float = STILL, damping: float = DAMPING
 ) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, n).
 
     Hosts that only appear in edges have seeds of 0. A host without links out keeps its trust, one without
-    links in its distrust. Weights are shares of a host's links. Every round is written to the shared folder.
+    links in its distrust. Weights are shares of a host's links. Every round is written to the shared folder;
+    rounds go on until no host changes by more than `still`, however long the chains of links are.
     """
     edges = materialize(edges)
     out = edges.groupBy("src").agg(F.sum("n").alias("sent"))
@@ -74,7 +78,7 @@ def spread_trust(
         F.col("sent").isNull().alias("no_out"), F.col("got").isNull().alias("no_in"),
     ))
     ranks = materialize(start.select("host", F.col("seed_trust").alias("trust"), F.col("seed_distrust").alias("distrust")))
-    for _ in range(iterations):
+    while True:
         forth = shares.join(ranks, shares["src"] == ranks["host"]).select(F.col("dst").alias("to"), (F.col("trust") * F.col("forth")).alias("t"), zero.alias("d"))
         back = shares.join(ranks, shares["dst"] == ranks["host"]).select(F.col("src").alias("to"), zero.alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
         sums = forth.union(back).groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -85,13 +89,12 @@ def spread_trust(
         new = materialize(met.select("host", trust.alias("trust"), distrust.alias("distrust"), change.alias("change")))
         drop_materialized(ranks)
         ranks = new.drop("change")
-        if not new.where(F.col("change") > STILL).head(1):
-            break
-    return ranks
+        if not new.where(F.col("change") > still).head(1):
+            return ranks
 
 
 def judge_urls(
-    pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD
+    pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, threshold: float = THRESHOLD, still: float = STILL
 ) -> DataFrame:
     """All rows and columns but the page itself, plus host, path, rule, verdict, trust and distrust.
 
@@ -106,7 +109,7 @@ def judge_urls(
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
     share = lambda kind: F.avg(F.when(F.col("verdict") == kind, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    ranks = spread_trust(seeds, host_edges(parsed, "host", html))
+    ranks = spread_trust(seeds, host_edges(parsed, "host", html), still)
     (key,) = fresh(ruled, "rank_host")
     met = ruled.join(ranks.withColumnRenamed("host", key), F.col("host") == F.col(key), "left")
     bad = F.coalesce(F.col("distrust") - F.col("trust") >= threshold, F.lit(False))
@@ -115,7 +118,7 @@ def judge_urls(
     return met.select(*kept, "host", "path", "rule", final.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
-def oracle_sql(rules=RULES, iterations: int = ITERATIONS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
+def oracle_sql(rules=RULES, iterations: int = SQL_ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
     """The same verdicts in DuckDB's SQL, with one pair of tables for each round."""
     fits = lambda text: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}'))".format(
         text.partition("/")[0], "/" + text.partition("/")[2]
