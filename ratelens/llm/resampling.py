@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import fresh, replaced, text_key, text_or_empty
+from ratelens.llm.common import fresh, replaced, text_key, text_or_empty, told_apart
 from ratelens.llm.words import per_slice, slices, split_by
 from ratelens.operators.ordinals import with_ordinal
 from ratelens.session import materialize
@@ -228,6 +228,7 @@ def resample(
     """
     if text.lower() == key.lower():
         raise ValueError("key and text are two columns")
+    docs, old = told_apart(docs, key, text)
     given = features(docs, text, buckets)
     gain = gains(histogram(given), histogram(features(target.select(target_text), target_text, buckets)))
     weighed = weigh(given, gain)
@@ -239,4 +240,5 @@ def resample(
     )
     n = placed.where(able).count() * percent // 100
     rank = F.when(F.col(able) & (F.col(place) < n), F.col(place) + 1)
-    return replaced(placed, rank=rank).drop(place, able, given.row, given.words)
+    out = replaced(placed, rank=rank).drop(place, able, given.row, given.words)
+    return out.toDF(*[old.get(c, c) for c in out.columns])
