@@ -289,3 +289,19 @@ def test_random_search_with_side_data(parts):
         train, test, max_iterations=[2], num_factors=[2], side_data_factorization=[True], side_columns=["style"], num_models=1
     ).first()
     assert got["side_data_factorization"] and got["lin_reg"] is not None and got["test_rmse"] is not None
+
+
+def test_blocks_follow_the_ratings_and_not_the_shuffle_partitions(spark, monkeypatch):
+    asked = []
+    own = models.ALS.setNumBlocks
+    monkeypatch.setattr(models.ALS, "setNumBlocks", lambda self, n: (asked.append(n), own(self, n))[1])
+    ratings = spark.createDataFrame([(u, i, float((u * i) % 10)) for u in range(20) for i in range(10)], "user_id int, item_id int, taste double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        model = models.fit_als(ratings, rank=2, iterations=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert asked == [models.LEAST_BLOCKS]
+    assert models.predict_pairs(model, ratings).count() == 200
+    assert models.als_blocks(100 * models.BLOCK_RATINGS) == 100
