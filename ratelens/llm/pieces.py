@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -75,8 +76,9 @@ class Pieces:
         self.split = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         # Nor one between two characters that stand side by side in no piece.
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self._segments, self._stretches = _Memory(REMEMBERED // 2), _Memory(REMEMBERED)
+        self._segments, self._stretches = _Memory(REMEMBERED), _Memory(REMEMBERED // 2)
         self._pairs: dict[int, bool] = {}
+        self._firsts = [i * len(pieces) for i in (*range(len(pieces)), -1)]  # a left piece's first key of `_pairs`
         self._histories: dict[str, tuple[list, list] | None] = {}  # one entry a piece at most
 
     @classmethod
@@ -155,6 +157,34 @@ class Pieces:
 
     def _best_path(self, text: str) -> list[int]:
         """Single pass: at each position the best path, from the pieces that end there or from byte pieces."""
+        return (self._only_path(text) if self.kind == "bpe" else None) or self._scored_path(text)
+
+    def _only_path(self, text: str) -> list[int] | None:
+        """The single pass in a BPE model: one path reaches each position, so that no scores need be kept and no other piece
+        tried once it is found. None if no path reaches the end, as where a character has no piece."""
+        sizes, firsts, known = self.sizes, self._firsts, self._pairs.get
+        # By the position of a piece's last character; the one before the first character is -1, the last entry.
+        last: list[int | None] = [None] * len(text) + [-1]
+        for end, piece in self.automaton.iter(text):
+            if last[end] is None:
+                left = last[end - sizes[piece]]
+                if left is not None:
+                    follows = known(firsts[left] + piece)
+                    if follows is None:
+                        follows = self._may_follow(left, piece)
+                    if follows:
+                        last[end] = piece
+        out: list[int] = []
+        at = len(text) - 1
+        while at >= 0:
+            piece = last[at]
+            if piece is None:
+                return None
+            out.append(piece)
+            at -= sizes[piece]
+        return out[::-1]
+
+    def _scored_path(self, text: str) -> list[int]:
         n = len(text)
         score: list[float | None] = [0.0] + [None] * n
         last, start = [-1] * (n + 1), [0] * (n + 1)
@@ -191,7 +221,11 @@ class Pieces:
         return out[::-1]
 
     def _ids_of(self, segment: str) -> tuple[int, ...]:
-        """Ids of a segment from those of its stretches; it is cut where no piece can lie across."""
+        """Ids of a segment: a short one of a BPE model by one pass, else from those of its stretches, cut where no piece can lie across."""
+        if self.kind == "bpe" and len(segment) <= LONGEST:
+            whole = self._only_path(segment)
+            if whole is not None:
+                return tuple(whole)
         neighbours, known = self.neighbours, self._stretches
         ends = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in neighbours]
         out: list[int] = []
@@ -210,15 +244,15 @@ class Pieces:
             return []
         marked = BLANK + text.replace(" ", BLANK)
         parts = self.pattern.findall(marked) if self.split else [marked]
-        out: list[int] = []
         known = self._segments
-        for part in parts:
-            ids = known.new.get(part) or known.get(part)
-            if ids is None:
-                ids = self._ids_of(part)
-                known.put(part, ids)
-            out.extend(ids)
-        return out
+        found = list(map(known.new.get, parts))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            part = parts[i]
+            found[i] = known.get(part)
+            if found[i] is None:
+                found[i] = self._ids_of(part)
+                known.put(part, found[i])
+        return list(chain.from_iterable(found))
 
     def decode(self, ids) -> str:
         """Text of ids without the blank in front; bytes that are no UTF-8 become replacement characters."""
@@ -259,8 +293,10 @@ def _both_ways(text: Column, model: str) -> Column:
         pieces = Pieces.load(model)
         for series in batches:
             for first in range(0, len(series), SLICE):
-                ids = [np.array(pieces.encode(t), np.int32) for t in series.iloc[first : first + SLICE]]
-                decoded = [pieces.decode(i) for i in ids]
+                found = [pieces.encode(t) for t in series.iloc[first : first + SLICE]]
+                decoded = [pieces.decode(i) for i in found]  # from lists, as numbers of an array are slower to look up
+                ids = [np.array(i, np.int32) for i in found]
+                del found
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
 
     return both(text)

@@ -87,3 +87,13 @@ def test_neighbours_and_memory_equal_the_definition(library, monkeypatch):
     forgetful = Pieces(model.pieces, model.scores, "bpe")
     for text in (sentence(rng, "de", 300), "one.%%% one.%%% two### ###", "x" * 200):
         assert forgetful.encode(text) == library.encode(text)
+
+
+def test_one_path_without_scores_gives_the_ids_of_the_scored_one():
+    model, source = pieces.Pieces.load(), random.Random(5)
+    texts = ["".join(source.choice("aeinrst▁heru1.é") for _ in range(source.randint(1, 40))) for _ in range(3_000)]
+    for text in texts:
+        alone = model._only_path(text)
+        assert alone == model._scored_path(text), text
+    assert model._only_path("a\U0001f9ff") is None  # a character without a piece: byte pieces, by the scored pass
+    assert model.encode("a\U0001f9ff b" * 40) == model._scored_path(("▁" + "a\U0001f9ff▁b" * 40))
