@@ -33,6 +33,9 @@ THRESHOLD = 0.8
 #: 24 bands of 6 registers: two texts of similarity 0.8 meet with probability 0.9993, of 0.5 with 0.31.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
+#: Cells that the shingles of a text are dealt to, to tell by how much two texts differ at least.
+CELL_BITS = 9
+CELLS = 1 << CELL_BITS
 #: Words sketched at a time.
 BLOCK_WORDS = 400_000
 
@@ -232,6 +235,17 @@ def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def _joined(members: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """`members` whose components `edges` have joined; `roots` are those of the components."""
+    for x in "xy":
+        known = roots.select(F.col("a").alias(f"{x}a"), F.col("b").alias(f"{x}b"), "ra", "rb")
+        found = edges.join(known, [f"{x}a", f"{x}b"], "left")
+        edges = found.withColumns({f"{x}a": F.coalesce("ra", f"{x}a"), f"{x}b": F.coalesce("rb", f"{x}b")}).drop("ra", "rb")
+    over = components(edges.where((F.col("xa") != F.col("ya")) | (F.col("xb") != F.col("yb"))))
+    over = over.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("ra").alias("oa"), F.col("rb").alias("ob"))
+    return members.join(over, ["ra", "rb"], "left").withColumns({"ra": F.coalesce("oa", "ra"), "rb": F.coalesce("ob", "rb")}).drop("oa", "ob")
+
+
 def shingle_column(words: Column) -> Column:
     """Array of the different shingles of a text's word hashes."""
 
@@ -247,15 +261,34 @@ def shingle_column(words: Column) -> Column:
     return distinct(words)
 
 
+def _cells(shingles: Column) -> Column:
+    """Which of CELLS cells hold an odd number of a text's shingles, as bits of numbers.
+
+    Two texts differ in at least as many shingles as there are cells that are odd in one of them alone.
+    """
+
+    @F.pandas_udf("array<long>")
+    def odd(series: pd.Series) -> pd.Series:
+        counts = [np.bincount(np.asarray(s, np.int64).view(np.uint64) >> np.uint64(64 - CELL_BITS), minlength=CELLS) for s in series]
+        return pd.Series([np.packbits((c % 2).astype(np.uint8)).view(np.int64) for c in counts], dtype=object)
+
+    return odd(shingles)
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """The number of shingles, at least, that only one of two texts has."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+
+
 def _shared_shingles(texts: DataFrame) -> DataFrame:
-    """(a, b, size, shared): the number of a text's shingles, and of those that another of the texts has too."""
+    """(a, b, size, shared, cells): the number of a text's shingles, and of those that another of the texts has too; see `_cells`."""
     held = materialize(texts.select("a", "b", shingle_column(word_hashes(F.col("text"))).alias("s")))
     single = held.select("a", "b", F.explode("s").alias("shingle")).groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("a").alias("a"), F.min("b").alias("b")
     )
     own = single.where("n = 1").groupBy("a", "b").agg(F.count("*").alias("own"))
-    sized = held.select("a", "b", F.size("s").alias("size"))
-    return materialize(sized.join(own, ["a", "b"], "left").select("a", "b", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
+    sized = held.select("a", "b", F.size("s").alias("size"), _cells(F.col("s")).alias("cells"))
+    return materialize(sized.join(own, ["a", "b"], "left").select("a", "b", "size", "cells", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")))
 
 
 def _hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -288,6 +321,12 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     Every component of near copies is connected by the links returned; links between members that are already
     known to be connected need not be among them.
     """
+    to_hubs, _, others = _links(docs, text, threshold)
+    return to_hubs.union(others)
+
+
+def _links(docs: DataFrame, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links with hubs, the components that they make, and links between these components; the last two are written."""
     keyed = docs.where(F.col(text).isNotNull()).select(*[k.alias(n) for k, n in zip(text_key(F.col(text)), "ab")], F.col(text).alias("text"))
     bands = F.array_distinct(band_column(word_hashes(F.col("text"))))
     sketched = materialize(keyed.select("a", "b", bands.alias("bands")).distinct())
@@ -301,13 +340,15 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     reach = 1 - threshold + 1e-12
     # A text too many of whose shingles are its own has no link.
     known = _shared_shingles(texts).where(F.col("shared") >= (threshold - 1e-9) * F.col("size"))
-    members = materialize(members.join(known, ["a", "b"]))
+    members = materialize(members.join(known.drop("cells"), ["a", "b"]))
     to_hub, main = _hub_pairs(members)
     checked = materialize(_verified(materialize(to_hub), texts))
     found = checked.where(F.col("distance") <= reach)
-    placed = materialize(_beside_hub(members, main, checked, components(found)))
-    rest = materialize(_possible_pairs(placed, reach))
-    return found.union(_verified(rest, texts).where(F.col("distance") <= reach))
+    roots = materialize(components(found))
+    placed = materialize(_beside_hub(members, main, checked, roots))
+    rest = materialize(_possible_pairs(placed, known.select("a", "b", "cells"), reach))
+    # Written, as the components read the links several times.
+    return found, roots, materialize(_verified(rest, texts).where(F.col("distance") <= reach))
 
 
 def _beside_hub(members: DataFrame, main: DataFrame, checked: DataFrame, roots: DataFrame) -> DataFrame:
@@ -315,31 +356,36 @@ def _beside_hub(members: DataFrame, main: DataFrame, checked: DataFrame, roots:
     x, y = F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b"))
     either = checked.select(F.explode(F.array(F.struct(x.alias("m"), y.alias("h")), F.struct(y.alias("m"), x.alias("h")))).alias("p"), "distance")
     to_hub = either.select(F.col("p.m.a").alias("a"), F.col("p.m.b").alias("b"), F.col("p.h.a").alias("ha"), F.col("p.h.b").alias("hb"), "distance")
-    with_hub = members.join(main, "bucket")
+    # The hubs meet their components by bucket: one hub serves many buckets, whose members would all meet under its key.
+    hub_roots = roots.select(F.col("a").alias("ha"), F.col("b").alias("hb"), F.col("ra").alias("hra"), F.col("rb").alias("hrb"))
+    rooted_main = materialize(main.join(hub_roots, ["ha", "hb"], "left").withColumns({"hra": F.coalesce("hra", "ha"), "hrb": F.coalesce("hrb", "hb")}))
+    with_hub = members.join(rooted_main, "bucket")
     rooted = _with_roots(with_hub, roots).join(to_hub, ["a", "b", "ha", "hb"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    hub_roots = _with_roots(main.select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct(), roots)
-    hub_roots = hub_roots.select(F.col("a").alias("ha"), F.col("b").alias("hb"), F.col("ra").alias("hra"), F.col("rb").alias("hrb"))
     apart = (F.col("ra") != F.col("hra")) | (F.col("rb") != F.col("hrb"))
-    return rooted.join(hub_roots, ["ha", "hb"]).select("bucket", "a", "b", "ra", "rb", "size", "shared", "distance", apart.alias("outside"))
+    return rooted.select("bucket", "a", "b", "ra", "rb", "size", "shared", "distance", apart.alias("outside"))
 
 
-def _possible_pairs(placed: DataFrame, reach: float) -> DataFrame:
+def _possible_pairs(placed: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
     """Pairs of a bucket in different components that may still be linked.
 
     One of the two lies outside the main hub's component. Their distances to the main hub must differ by `reach` at most
     (triangle inequality; the distances are cut into steps of `reach`, so that only neighbouring steps meet), and the shingles that they share with anyone must suffice for the similarity.
+    Their cells must not tell that they differ in more shingles than a link may: only the few pairs left have their texts compared.
     """
     step = F.floor(F.col("distance") / reach).cast("int")
-    columns = ("a", "b", "ra", "rb", "size", "shared", "distance", "outside")
-    x = placed.where("outside").select("bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"), *[F.col(c).alias(f"x{c}") for c in columns])
-    crossed = placed.join(materialize(placed.where("outside").select("bucket").distinct()), "bucket")
-    y = crossed.select("bucket", step.alias("step"), *[F.col(c).alias(f"y{c}") for c in columns])
+    columns = ("a", "b", "ra", "rb", "size", "shared", "distance", "outside", "cells")
+    met = placed.join(materialize(placed.where("outside").select("bucket").distinct()), "bucket")
+    met = materialize(met.join(cells, ["a", "b"]))
+    x = met.where("outside").select("bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"), *[F.col(c).alias(f"x{c}") for c in columns])
+    y = met.select("bucket", step.alias("step"), *[F.col(c).alias(f"y{c}") for c in columns])
     apart = (F.col("xra") != F.col("yra")) | (F.col("xrb") != F.col("yrb"))
     once = ~F.col("youtside") | (F.col("xa") < F.col("ya")) | ((F.col("xa") == F.col("ya")) & (F.col("xb") < F.col("yb")))
     near = F.abs(F.col("xdistance") - F.col("ydistance")) <= reach + 1e-9
     common = F.least("xshared", "yshared")
     enough = common >= (1 - reach - 1e-9) * (F.col("xsize") + F.col("ysize") - common)
-    pairs = x.join(y, ["bucket", "step"]).where(apart & once & near & enough)
+    # Of a union of u shingles two texts at distance d differ in d u, and their sizes add up to (2 - d) u.
+    alike = _differ(F.col("xcells"), F.col("ycells")) <= (reach / (2 - reach) + 1e-9) * (F.col("xsize") + F.col("ysize"))
+    pairs = x.join(y, ["bucket", "step"]).where(apart & once & near & enough & alike)
     return _ordered(pairs.select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y")))
 
 
@@ -351,8 +397,8 @@ def text_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", thresh
     of a text that bears this id."""
     keyed = docs.where(F.col(text).isNotNull()).select(*[k.alias(n) for k, n in zip(text_key(F.col(text)), "ab")], F.col(id).alias("id"))
     smallest = materialize(keyed.groupBy("a", "b").agg(F.min("id").alias("id")))
-    roots = materialize(components(links(docs, text, threshold)))
-    placed = _with_roots(smallest.withColumns({"ra": F.lit(0), "rb": F.lit(0)}), roots)
+    _, roots, others = _links(docs, text, threshold)
+    placed = _joined(_with_roots(smallest.withColumns({"ra": F.lit(0), "rb": F.lit(0)}), roots), roots, others)
     named = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b"))
     heads = materialize(placed.groupBy("ra", "rb").agg(named.alias("head")))
     return placed.join(heads, ["ra", "rb"]).select(

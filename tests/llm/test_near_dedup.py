@@ -143,3 +143,32 @@ def test_exact_similarities():
         assert plain[i] == (len(set(a) & set(b)) / len(every) if every else 0)
         exact = sum(1 / sum(max(a.get(j, 0) / a[k], b.get(j, 0) / b[k]) for j in every) for k in set(a) & set(b))
         assert abs(weighted[i] - exact) < 1e-9
+
+
+def test_near_copies_that_are_not_linked_are_told_apart_without_their_texts(spark, monkeypatch):
+    source = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(words, places, mark):
+        return [f"{mark}x{i}" if i in places else w for i, w in enumerate(words)]
+
+    texts = [edited(base, set(range(source.randrange(40), 300, 48)), f"t{n}") for n in range(120)]
+    texts += [edited(texts[n], {150}, "again") for n in (7, 70)]  # links between members that have none with a hub
+    compared = []
+    verified = nd._verified
+
+    def counted(pairs, of):
+        compared.append(pairs.count())
+        return verified(pairs, of)
+
+    monkeypatch.setattr(nd, "_verified", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = dict(nd.near_duplicate_classes(docs).select("doc_id", "class_id").collect())
+    assert found[120] == found[7] and found[121] == found[70]
+    assert len(set(found.values())) < 122
+    assert compared[0] > 100 and compared[-1] < 300, compared  # the others were compared pair by pair, thousands of them
+    signs = [nd.shingles([np.frombuffer(" ".join(t).encode(), np.uint8).astype(np.int64)])[1] for t in texts[:20]]
+    held = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(signs)], "i long, s array<long>").withColumn("c", nd._cells(F.col("s")))
+    other = held.select(*[F.col(c).alias(f"o{c}") for c in held.columns])
+    for r in held.crossJoin(other).withColumn("least", nd._differ(F.col("c"), F.col("oc"))).collect():
+        assert r["least"] <= len(set(r["s"]) ^ set(r["os"]))
