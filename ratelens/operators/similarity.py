@@ -21,7 +21,8 @@ from ratelens.functions.vectors import norm
 from ratelens.session import materialize
 
 MAX_PIVOTS = 4096
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192  # of 64 numbers: 4 MB a side
+_COMPARE_ROWS = 512
 _ASSIGN_ROWS = 1024
 _SLACK = 1e-9  # rounding slack; only lets more candidates in
 
@@ -67,14 +68,18 @@ def _compare(max_distance: float):
         if home.empty or near.empty:
             return pd.DataFrame(columns=columns)
         cell = key[0]
-        distance = 1.0 - _matrix(home["unit"]) @ _matrix(near["unit"]).T
-        rows, cols = np.nonzero(distance <= max_distance)
-        a, b = home["id"].to_numpy()[rows], near["id"].to_numpy()[cols]
-        other = near["home"].to_numpy()[cols]
-        # Each pair is met once from either end; keep one of the two.
-        once = np.where(other == cell, a < b, cell < other)
-        low, high = np.minimum(a, b)[once], np.maximum(a, b)[once]
-        return pd.DataFrame({"item_id1": low, "item_id2": high, "distance": distance[rows, cols][once]})
+        ids, other_ids, other = home["id"].to_numpy(), near["id"].to_numpy(), near["home"].to_numpy()
+        units, turned = _matrix(home["unit"]), _matrix(near["unit"]).T
+        found = []
+        for start in range(0, len(ids), _COMPARE_ROWS):
+            distance = 1.0 - units[start : start + _COMPARE_ROWS] @ turned
+            rows, cols = np.nonzero(distance <= max_distance)
+            a, b = ids[start + rows], other_ids[cols]
+            # Within a cell each pair is met from either end; keep one of the two.
+            once = (other[cols] != cell) | (a < b)
+            low, high = np.minimum(a, b)[once], np.maximum(a, b)[once]
+            found.append(pd.DataFrame({"item_id1": low, "item_id2": high, "distance": distance[rows, cols][once]}))
+        return pd.concat(found, ignore_index=True)
 
     return compare
 
@@ -115,7 +120,8 @@ def similar_items(
     pivots = np.array([r["unit"] for r in chosen])
     reach = math.sqrt(2.0 * max_distance)
     placed = materialize(_assign_cells(units, pivots, reach))
-    spread = placed.select("id", "unit", "home", F.explode("cells").alias("cell"))
+    # Two cells meet in the first of them alone: an item goes to the cells before its own, and the items of those after it come to it.
+    spread = placed.select("id", "unit", "home", F.explode(F.filter("cells", lambda c: c <= F.col("home"))).alias("cell"))
 
     is_home = F.col("home") == F.col("cell")
     blocks = (

@@ -305,3 +305,29 @@ def test_blocks_follow_the_ratings_and_not_the_shuffle_partitions(spark, monkeyp
     assert asked == [models.LEAST_BLOCKS]
     assert models.predict_pairs(model, ratings).count() == 200
     assert models.als_blocks(100 * models.BLOCK_RATINGS) == 100
+
+
+def test_similar_items_sends_an_item_to_no_cell_after_its_own(spark, monkeypatch):
+    source = np.random.default_rng(4)
+    vectors = source.normal(size=(240, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    met = []
+    compare = similarity._compare
+
+    def watched(max_distance):
+        inner = compare(max_distance)
+
+        def counted(key, home, near):
+            assert (near["home"] >= key[0]).all()
+            return inner(key, home, near)
+
+        return counted
+
+    monkeypatch.setattr(similarity, "_compare", watched)
+    for bound in (0.4, 0.9):
+        found = {(r[0], r[1]) for r in similarity.similar_items(frame, "id", "v", bound, block_rows=20).collect()}
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        distance = 1 - unit @ unit.T
+        met.append(len(found))
+        assert found == {(i, j) for i in range(240) for j in range(i + 1, 240) if distance[i, j] <= bound}
+    assert met[0] > 0
