@@ -147,6 +147,31 @@ def test_best_of_with_ties_and_early_stop():
         np.testing.assert_allclose(np.sort(mine.prediction)[::-1], exact, rtol=1e-5, atol=1e-6)
 
 
+def test_users_leave_the_visit_one_by_one(monkeypatch):
+    """A user whose list never closes does not keep the others of its slice: before, all rows were partitioned at each step."""
+    source = np.random.default_rng(2)
+    items = source.random((40_000, 6)).astype("float32") * np.linspace(2, 0.01, 40_000, dtype="float32")[:, None]
+    users = source.random((1000, 6)).astype("float32")
+    users[7] *= -1  # all scores are negative, so the best items come last
+    rows, plain = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *p, **k: rows.append(len(a)) or plain(a, *p, **k))
+    got = recommend._best_of(np.arange(1000), users, np.arange(40_000), items, 5)
+    assert len(rows) == 10 and rows[0] == 1000 and sum(rows[2:]) < 500
+    for u in (0, 7, 999):
+        want = np.lexsort((np.arange(40_000), -(items @ users[u])))[:5]
+        assert got[got.user_id == u].item_id.tolist() == want.tolist()
+
+
+def test_large_catalogue_meets_few_chunks(spark, model, monkeypatch):
+    """Every chunk of users is sent all items: the items of 500,000 users are sent once, not 25 times."""
+    sent = []
+    plain = recommend.F.sequence
+    monkeypatch.setattr(recommend.F, "sequence", lambda a, b: sent.append(b) or plain(a, b))
+    monkeypatch.setattr(type(model.userFactors), "count", lambda df, plain=type(model.userFactors).count: 500_000 if "user_id" in df.columns else plain(df))
+    recommend.recommend_top_k(model, k=5, item_matrix_bytes=200)
+    assert recommend.math.ceil(500_000 / recommend._USER_CHUNK) == 1 and len(sent) == 2
+
+
 def test_rank_items_breaks_ties_by_id(spark):
     df = spark.createDataFrame([(1, 9, 5.0), (1, 2, 5.0), (1, 3, 4.0), (2, 1, 1.0)], "user_id int, item_id int, prediction double")
     assert rows(recommend.rank_items(df, 2)) == [(1, 2, 5.0, 1), (1, 9, 5.0, 2), (2, 1, 1.0, 1)]
