@@ -1,8 +1,10 @@
 """The rating table by ids against the plain path by names, on rows of its own."""
 
 import datetime as dt
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from ratelens.operators.split import hash_split
@@ -64,6 +66,23 @@ def test_no_name_moves_with_the_ratings(spark, tmp_path, monkeypatch):
     assert {"review_id", "item", "user_name"}.isdisjoint(train.columns)
 
 
+def test_reviews_of_one_id_are_not_moved_once_more(spark, tmp_path, monkeypatch):
+    """They meet by part key, by which they lie after the join to large parts; before, a digest was shuffled."""
+    write(spark, str(tmp_path), CLEAR, PARTS, LINES)
+    firsts, plain = [], RT._regions
+    monkeypatch.setattr(RT, "top_k_per_group", lambda *a, **k: firsts.append(E.recommend.top_k_per_group(*a, **k)) or firsts[-1])
+    monkeypatch.setattr(RT, "_regions", lambda *a: F.broadcast(plain(*a)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        RT.id_ratings(spark, str(tmp_path))
+        plan = firsts[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = set(re.findall(r"hashpartitioning\((\w+)#", plan))
+    assert "p_partkey" in moved and moved <= {"l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "l_partkey", "p_partkey"}
+
+
 def test_rank_with_given_names(spark):
     ratings = spark.createDataFrame([(u, i, float(5 + (u + i) % 3)) for u in range(4) for i in range(5)], "user_id int, item_id int, taste double")
     users = spark.createDataFrame([(f"u{k}", k) for k in range(4)], "user_name string, user_id int")
