@@ -138,3 +138,20 @@ def test_other_lengths_and_empty_table(spark):
     assert substring_dedup.remove_repeated_windows(frame(spark, rows).where(F.lit(False))).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.repeated_windows(frame(spark, rows), words=1)
+
+
+def test_removal_uses_every_level_until_no_candidate_survives(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = sentence(rng, n=430)
+    rows = [row(i, f"{sentence(rng, n=20)} {passage if i < 3 else sentence(rng, n=90)} {sentence(rng, n=20)}") for i in range(5)]
+    found = []
+
+    def kept(*args, given=substring_dedup.repeated_windows, **more):
+        found.append(given(*args, **more))
+        return found[-1]
+
+    monkeypatch.setattr(substring_dedup, "repeated_windows", kept)
+    got = substring_dedup.remove_repeated_windows(frame(spark, rows))
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"].encode()) for r in got.collect()), key=repr) == plain(rows)
+    assert [size for size, _ in found[0][1]] == [50, 100, 200, 400]
+    assert {r["doc_id"] for r in got.where("n_removed >= 430").collect()} == {1, 2}
