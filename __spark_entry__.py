@@ -1088,9 +1088,7 @@ def stored_scores(spark, d):
 )
 def scored_pairs(spark, d):
     """Truth beside prediction on user and item, with the absolute error."""
-    docs = RT.store(spark, d)
-    users, items = R.dimensions(docs)
-    scores = materialize(R.with_ids(RT.scored(RT.labelled(docs)), users, items))
+    scores = materialize(RT.scored(RT.id_ratings(spark, d)[0], "user_id", "item_id"))
     truth = scores.select("user_id", "item_id", F.col("actual").alias("taste"))
     both = EV.score_pairs(truth, scores.select("user_id", "item_id", "prediction"))
     found = EV.absolute_errors(both.withColumn("actual", F.col("taste"))).drop("actual")

@@ -90,3 +90,15 @@ def test_rank_with_given_names(spark):
     got = RC.retrain_and_rank(ratings, min_count=1, k=2, users=users, items=items).collect()
     assert sorted((r["user_name"], r["rank"]) for r in got) == [(f"u{u}", rank) for u in range(4) for rank in (1, 2)]
     assert {r["item"] for r in got} <= {f"i{k}" for k in range(5)}
+
+
+def test_scored_pairs_are_those_by_names_from_a_table_of_numbers(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    write(spark, folder, CLEAR, PARTS, LINES)
+    docs = RT.stored_reviews(spark, folder)
+    users, items = R.dimensions(RT.reviews(spark, folder))
+    plain = R.with_ids(RT.scored(RT.labelled(docs)), users, items)
+    monkeypatch.setattr(RT, "store", None)  # the store bears names and is not asked for
+    found = {(r["user_id"], r["item_id"]): (r["taste"], r["prediction"]) for r in E.scored_pairs(spark, folder).collect()}
+    expected = {(r["user_id"], r["item_id"]): (r["actual"], round(r["prediction"], 6)) for r in plain.collect()}
+    assert found == expected
