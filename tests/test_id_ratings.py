@@ -92,6 +92,20 @@ def test_rank_with_given_names(spark):
     assert {r["item"] for r in got} <= {f"i{k}" for k in range(5)}
 
 
+def test_refreshed_ratings_keep_their_time_and_carry_no_names(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder, CLEAR, PARTS, LINES)
+    docs = RT.stored_reviews(spark, folder)
+    users, items = R.dimensions(RT.reviews(spark, folder))
+    plain = R.with_ids(R.rated_reviews(docs, keep=("review_ts",)), users, items)
+    rated, old, new, got_users, got_items = E._refreshed(spark, folder)
+    assert not {"user_name", "item", "review_id"} & {*rated.columns, *old.columns, *new.columns}
+    columns = ["user_id", "item_id", "taste", "review_ts"]
+    assert sorted(map(repr, rated.select(*columns).collect())) == sorted(map(repr, plain.select(*columns).collect()))
+    assert sorted(map(tuple, got_users.collect())) == sorted(map(tuple, users.collect()))
+    assert sorted(map(tuple, got_items.collect())) == sorted(map(tuple, items.collect()))
+
+
 def test_scored_pairs_are_those_by_names_from_a_table_of_numbers(spark, tmp_path, monkeypatch):
     folder = str(tmp_path)
     write(spark, folder, CLEAR, PARTS, LINES)
